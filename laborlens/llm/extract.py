@@ -58,7 +58,7 @@ class Labeller:
         rng = np.random.default_rng(seed)
         d, h = WIDTH + _MEASURES, HIDDEN
         draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"E": (rng.standard_normal((BUCKETS, WIDTH)) * 0.3).astype(np.float32), "V": draw(2 * h + d, 1)[:, 0], "c": np.zeros(1, np.float32)}
+        self.p = {"E": np.zeros((BUCKETS, WIDTH), np.float32), "V": draw(2 * h + d, 1)[:, 0], "c": np.zeros(1, np.float32)}
         for k in "fb":
             bias = np.zeros(4 * h, dtype=np.float32)
             bias[h : 2 * h] = 1

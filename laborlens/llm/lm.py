@@ -42,7 +42,7 @@ CLASSES = HEAD_CLASSES + TAIL_CLASSES
 #: hashed features of each of the three kinds
 BUCKETS = 1 << 12
 KINDS = 3
-STEPS, _RATE, _PRIOR = 1, 0.5, 4.0
+STEPS, _RATE, _PRIOR = 1, 0.5, 12.0
 _FLUSH = 300_000
 _CHUNK = 1 << 15
 END = b""
