@@ -176,6 +176,8 @@ def drafts(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
 
     def prose(low, high):
         words = [word() for _ in range(int(rng.integers(low, high)))]
+        if chance(0.12):
+            words = [w for w in words[:9] for _ in range(int(rng.integers(1, 12)))]
         text = pick([" "] * 7 + [" | ", ", ", "!! ", "### "]).join(words)
         text = text.upper() if chance(0.06) else text.capitalize() if chance(0.9) else text
         return text + pick([".", ".", ".", "", "!", "?", " |", ":"])
