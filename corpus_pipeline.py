@@ -1,7 +1,7 @@
 """The corpus pipeline: five of the corpus operators in a row, each stage over all that the one before it kept.
 
-run() applies the stages to `documents`. The check tool and production jobs write each stage's result as Parquet and read it
-back as the next stage's input.
+run() applies the stages to `documents`; each stage's result is written as Parquet in the shared folder and read back as the
+next one's input.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from laborlens.llm import bpe, decontaminate, rules, simhash, substrings
-from laborlens.llm.common import table
+from laborlens.llm.common import stored, table
 from laborlens.llm.queries import TOKENIZER
 
 #: SQL can't express the near-duplicate and BPE stages; tests hold run() against a brute-force version.
@@ -53,6 +53,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

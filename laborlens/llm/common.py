@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder: lost executors cost no recomputation."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet in the shared checkpoint folder and read back."""
+    path = f"{checkpoint_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
