@@ -2,19 +2,19 @@
 
 A suffix is a document's word sequence from some word on. In the tree of all suffixes, a node at word depth `window`
 that holds suffixes of several documents is a repeat of at least that length. Nodes are named by fingerprints of their
-path from the root (two independent 61-bit polynomials at the last depth), so that no text is shuffled for the tree.
+path from the root (two independent 64-bit polynomials at the last depth), so that no text is shuffled for the tree.
 
 1. A suffix matters only if another document shares its first `window` words. Of every window, one `gram`-word piece
    with the least hash is its anchor (equal windows have equal anchors, about one word in thirteen is an anchor).
    Anchors are counted; those that one document text has alone can't lie under a repeat and are dropped.
-2. The windows of the remaining anchors are the suffixes of the trees. Prefixes of a quarter and a half of that length split them: a prefix
-   with over `group_rows` suffixes is split by the next longer one, so that a group fits in memory.
-3. In a group, suffixes sorted by path are the tree; each node at depth `window` is a run, and its suffixes in documents
-   after the run's smallest doc_id are repeats. A passage that stays over the limit at full depth is one single node: it
-   needs no tree, its smallest doc_id is a pre-aggregated minimum.
+2. The windows of the remaining anchors are the suffixes of the trees. Prefixes split them into groups: a quarter of the window
+   as a rule, the whole window where the anchor's count shows that the group of a shorter prefix could exceed
+   `group_rows`. Equal windows have equal anchors and so the same length of prefix.
+3. Groups are dealt out and sorted by path: that order is the tree, and each node at depth `window` is a run. Its suffixes in
+   documents after the run's smallest doc_id are repeats. Runs are read as a stream, in the memory of a batch.
 
-Documents that are the same word for word are one text here (the smallest doc_id stands for all; the others' words all
-go if there is a window), so groups of copies add nothing to the trees.
+Documents that are the same word for word count as one text in step 1, and all words of those after the smallest doc_id go
+if there is a window, so groups of copies alone make no suffixes.
 
 Defined cases: null text has no words; texts under `window` words keep all; rows that repeat a doc_id with the same words
 get the same result each; a null doc_id is after every other and before none; an empty table gives an empty result.
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WINDOW = 50
-#: lengths of the prefixes that split the suffixes, as parts of the window, shortest first
-PREFIXES = (4, 2)
+#: most shared anchors (8 bytes each) that are broadcast; beyond it they are joined to the documents
+BROADCAST_ROWS = 2_000_000
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -111,22 +111,42 @@ def _scan(window: int, gram: int):
     return run
 
 
-def _suffixes(window: int, gram: int):
-    """(doc_id, text, hot array<bigint>) -> the suffixes whose anchors are hot."""
-    lengths = (*(max(1, window // k) for k in PREFIXES), window)
+_SUFFIX = "key bigint, node bigint, twin bigint, doc_id bigint, place bigint"
+
+
+def _pack(content: int, starts: np.ndarray) -> np.ndarray:
+    """The text's low 32 bits and the start word in one number."""
+    return (np.int64(content) << np.int64(32)) | starts.astype(np.int64)
+
+
+def _suffixes(window: int, gram: int, shared=None):
+    """(doc_id, text[, hot array<bigint>, full array<boolean>]) -> the suffixes whose anchors are hot, keyed by a prefix: a quarter of the window,
+    or all of it where the anchor's count says that shorter prefixes would not fit. shared: sorted hot anchors and their full marks, for all documents."""
+    short = max(1, window // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(4 + len(lengths))]
-            for doc, text, hot in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for k, (doc, text) in enumerate(zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True)):
                 words = words_of(text.as_py())
+                if len(words) < window:
+                    continue
                 rolling = Rolling(words)
                 grams = rolling.runs(gram)
-                at = anchors(grams, window - gram + 1)
-                starts = np.flatnonzero(np.isin(grams[at].view(np.int64), hot.values.to_numpy()))
-                cols = [np.full(len(starts), doc.as_py()), np.full(len(starts), _content(words)), starts.astype(np.int64)]
-                cols += [rolling.runs(n, starts).view(np.int64) for n in lengths]
-                cols.append(Rolling(words, 1).runs(window, starts).view(np.int64))
+                mine = grams[anchors(grams, window - gram + 1)].view(np.int64)
+                if shared is not None:
+                    hot, full = shared.value
+                else:
+                    hot, full = batch.column(2)[k].values.to_numpy(), batch.column(3)[k].values.to_numpy(zero_copy_only=False)
+                    order = np.argsort(hot)
+                    hot, full = hot[order], full[order]
+                at = np.minimum(np.searchsorted(hot, mine), max(0, len(hot) - 1))
+                starts = np.flatnonzero(hot[at] == mine) if len(hot) else np.zeros(0, np.int64)
+                if not len(starts):
+                    continue
+                node = rolling.runs(window, starts).view(np.int64)
+                key = np.where(full[at[starts]], node, rolling.runs(short, starts).view(np.int64))
+                cols = [key, node, Rolling(words, 1).runs(window, starts).view(np.int64), np.full(len(starts), doc.as_py()), _pack(_content(words), starts)]
                 for o, c in zip(out, cols, strict=True):
                     o.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64)) for o in out], names=_SUFFIX.replace(" bigint", "").split(", "))
@@ -134,70 +154,54 @@ def _suffixes(window: int, gram: int):
     return run
 
 
-_SUFFIX = "doc_id bigint, content bigint, start bigint, p0 bigint, p1 bigint, node bigint, twin bigint"
-
-
-def _subtrees(memory_rows: int):
-    """Rows (key, node, twin, doc_id, content, start), sorted: each run of a node at full depth is settled by its first."""
-
-    def settle(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, node, twin, doc, content, start = cols
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes sorted by prefix, node and document: the tree's leaves in order. Each run of a node at full depth is settled by
+    its first document; a run may go on in the next batch, so memory is that of a batch."""
+    before = None
+    for batch in batches:
+        key, node, twin, doc, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        if not len(doc):
+            continue
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (twin[1:] != twin[:-1])])
-        first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        runs = doc[np.flatnonzero(new)].copy()
+        if before is not None and before[:3] == (key[0], node[0], twin[0]):
+            runs[0] = before[3]
+        first = runs[np.cumsum(new) - 1]
+        before = (key[-1], node[-1], twin[-1], first[-1])
         late = doc > first
-        return pa.RecordBatch.from_arrays([pa.array(doc[late]), pa.array(content[late]), pa.array(start[late])], names=["doc_id", "content", "start"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        rows = 0
-        for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)])
-            rows += batch.num_rows
-            if rows >= memory_rows:
-                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-                other = np.flatnonzero(cols[0] != cols[0][-1])
-                end = int(other[-1]) + 1 if len(other) else 0
-                if end:
-                    yield settle([c[:end] for c in cols])
-                held, rows = [[c[end:] for c in cols]], len(cols[0]) - end
-        if rows:
-            yield settle([np.concatenate(x) for x in zip(*held, strict=True)])
-
-    return run
-
-
-def _late_windows(own: DataFrame, scanned: DataFrame, window: int, gram: int, group_rows: int) -> DataFrame:
-    """(doc_id, content, starts array<bigint>): windows that start in a smaller doc_id too, for the first document of each text."""
-    least = scanned.where("size(anchors) > 0").groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors"))
-    seen = least.select("doc_id", "content", F.explode("anchors").alias("anchor"))
-    shared = seen.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo <> hi").select("anchor")
-    hot = seen.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("hot"))
-    found = own.join(hot, "doc_id").select("doc_id", "text", "hot").mapInArrow(_suffixes(window, gram), _SUFFIX)
-    found = cut(found.dropDuplicates(["doc_id", "content", "start"]))
-
-    # variable-length prefixes: the shortest whose suffixes fit
-    cold, keyed = found, None
-    for name in ("p0", "p1"):
-        full = cold.groupBy(name).count().where(F.col("count") > group_rows).select(name)
-        fits = cold.join(full, name, "left_anti").withColumn("key", F.col(name))
-        keyed = fits if keyed is None else keyed.unionByName(fits)
-        cold = cold.join(full, name, "left_semi")
-    grouped = keyed.select("key", "node", "twin", "doc_id", "content", "start").repartition("key").sortWithinPartitions("key", "node", "twin", "doc_id")
-    late = grouped.mapInArrow(_subtrees(4 * group_rows), "doc_id bigint, content bigint, start bigint")
-    firsts = cold.groupBy("node", "twin").agg(F.min("doc_id").alias("first"))
-    single = cold.join(firsts, ["node", "twin"]).where("doc_id > first").select("doc_id", "content", "start")
-    return late.unionByName(single).groupBy("doc_id", "content").agg(F.collect_list("start").alias("starts"))
-
-
-def _marks(own: DataFrame, window: int, group_rows: int) -> DataFrame:
-    """(doc_id, marks array of (content, copy, starts)): what goes from the rows of doc_id whose text has that content."""
+        yield pa.RecordBatch.from_arrays([pa.array(doc[late]), pa.array(place[late])], names=["doc_id", "place"])
+
+
+def _late_windows(own: DataFrame, scanned: DataFrame, window: int, gram: int, group_rows: int, broadcast_rows: int) -> DataFrame:
+    """(doc_id, content, starts): windows that start in a smaller doc_id too; content: the low 32 bits of the text's."""
+    seen = scanned.select("content", F.explode("anchors").alias("anchor"))
+    shared = seen.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    shared = cut(shared.select("anchor", (F.col("n") * (window - gram) > group_rows).alias("full")))
+    if shared.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        hot = shared.toArrow()
+        anchor, full = hot.column(0).to_numpy(), hot.column(1).to_numpy()
+        order = np.argsort(anchor)
+        value = own.sparkSession.sparkContext.broadcast((anchor[order].copy(), full[order].copy()))
+        found = own.mapInArrow(_suffixes(window, gram, value), _SUFFIX)
+    else:
+        each = scanned.select("doc_id", F.explode("anchors").alias("anchor")).distinct().join(shared, "anchor")
+        lists = each.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "full")).alias("x")).select("doc_id", F.col("x.anchor").alias("hot"), F.col("x.full").alias("full"))
+        found = own.join(lists, "doc_id").select("doc_id", "text", "hot", "full").mapInArrow(_suffixes(window, gram), _SUFFIX)
+    late = found.repartition("key").sortWithinPartitions("key", "node", "twin", "doc_id").mapInArrow(_subtrees, "doc_id bigint, place bigint")
+    start = F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return late.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("content")).agg(F.collect_set(start).alias("starts"))
+
+
+def _marks(own: DataFrame, window: int, group_rows: int, broadcast_rows: int) -> DataFrame:
+    """(doc_id, marks array of (content, copy, starts)): what goes from the rows of doc_id whose text has that content (copies: all
+    64 bits of it, starts: the low 32; either only tells texts of one doc_id apart)."""
     gram = max(1, window // 2)
     own = own.where("doc_id is not null")
     scanned = cut(own.mapInArrow(_scan(window, gram), "doc_id bigint, content bigint, anchors array<bigint>"))
     ids = scanned.where("size(anchors) > 0").select("doc_id", "content")
     least = ids.groupBy("content").agg(F.min("doc_id").alias("least"))
-    copies = ids.join(least, "content").where("doc_id > least").select("doc_id", "content", F.lit(True).alias("copy"), F.array().cast("array<bigint>").alias("starts"))
-    late = _late_windows(own, scanned, window, gram, group_rows).select("doc_id", "content", F.lit(False).alias("copy"), "starts")
+    copies = ids.join(least, "content").where("doc_id > least").select("doc_id", F.shiftright(F.shiftleft("content", 32), 32).cast("int").alias("content"), F.lit(True).alias("copy"), F.array().cast("array<int>").alias("starts"))
+    late = _late_windows(own, scanned, window, gram, group_rows, broadcast_rows).select("doc_id", "content", F.lit(False).alias("copy"), "starts")
     both = copies.dropDuplicates(["doc_id", "content"]).unionByName(late)
     return both.groupBy("doc_id").agg(F.collect_list(F.struct("content", "copy", "starts")).alias("marks"))
 
@@ -205,8 +209,8 @@ def _marks(own: DataFrame, window: int, group_rows: int) -> DataFrame:
 def _kept(text: bytes | None, marks: list | None, window: int) -> tuple[list[bytes], int]:
     """The words of text that stay, and how many it has."""
     words = words_of(text)
-    mine = _content(words) if marks else None
-    for mark in marks or ():
+    mine = (_content(words) + (1 << 31)) % (1 << 32) - (1 << 31) if marks else None
+    for mark in sorted(marks or (), key=lambda m: not m["copy"]):
         if mark["content"] == mine:
             if mark["copy"]:
                 return [], len(words)
@@ -218,7 +222,7 @@ def _kept(text: bytes | None, marks: list | None, window: int) -> tuple[list[byt
     return words, len(words)
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, group_rows: int = 200_000) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, group_rows: int = 200_000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_words, n_removed, kept), a row for each row; kept: the kept words joined by a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,11 +234,11 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, group_rows: int = 200_00
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)), pa.array([x[2] for x in out], pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    joined = own.join(_marks(own, window, group_rows), "doc_id", "left").select("doc_id", "text", "marks")
+    joined = own.join(_marks(own, window, group_rows, broadcast_rows), "doc_id", "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
-def rewrite(docs: DataFrame, window: int = WINDOW, group_rows: int = 200_000) -> DataFrame:
+def rewrite(docs: DataFrame, window: int = WINDOW, group_rows: int = 200_000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with repeats taken out of text (n_chars, if there, follows); texts without any stay as they are. Columns as in docs."""
     schema, names = docs.schema, docs.columns
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
@@ -252,7 +256,7 @@ def rewrite(docs: DataFrame, window: int = WINDOW, group_rows: int = 200_000) ->
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    marks = _marks(own, window, group_rows).select(F.col("doc_id").alias("__doc"), F.col("marks").alias("__marks"))
+    marks = _marks(own, window, group_rows, broadcast_rows).select(F.col("doc_id").alias("__doc"), F.col("marks").alias("__marks"))
     joined = docs.join(marks, docs["doc_id"].cast("bigint") == F.col("__doc"), "left").select(*[docs[c] for c in names], "__marks")
     return joined.mapInArrow(run, schema)
 

@@ -35,8 +35,8 @@ def test_matches_brute_force(spark, small):
     assert got(substrings.deduplicated(docs)) == want and sum(x[2] for x in want) > 1000
 
 
-@pytest.mark.parametrize("group_rows", [3, 1000])
-def test_random_texts(spark, group_rows):
+@pytest.mark.parametrize(("group_rows", "broadcast"), [(3, 0), (3, 10**6), (1000, 0), (1000, 10**6)])
+def test_random_texts(spark, group_rows, broadcast):
     rng = np.random.default_rng(4)
     pool = [" ".join(rng.choice(list("abc"), 30)) for _ in range(4)]
     rows = []
@@ -45,10 +45,10 @@ def test_random_texts(spark, group_rows):
         rows.append((int(d * 3 % 60), "  ".join(parts)))
     rows += [(100, None), (101, ""), (102, "a b"), (7, rows[3][1]), (103, rows[5][1]), (103, rows[5][1])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert got(substrings.deduplicated(df, 8, group_rows)) == plain(rows, 8)
+    assert got(substrings.deduplicated(df, 8, group_rows, broadcast)) == plain(rows, 8)
     same = "x " * 3000
     more = spark.createDataFrame([(1, same), (2, "y " + same)], "doc_id bigint, text string")
-    assert got(substrings.deduplicated(more, 8, group_rows)) == plain([(1, same), (2, "y " + same)], 8)
+    assert got(substrings.deduplicated(more, 8, group_rows, broadcast)) == plain([(1, same), (2, "y " + same)], 8)
 
 
 def test_rewrite_keeps_columns(spark):
