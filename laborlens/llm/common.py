@@ -22,7 +22,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="laborlens-checkpoint-")
         sc.setCheckpointDir(folder)
