@@ -1,0 +1 @@
+from . import registry, review  # review adds its queries to the registry
