@@ -1 +1 @@
-from . import registry, review  # review adds its queries to the registry
+from . import registry, review, rounds  # review and rounds add their queries to the registry
