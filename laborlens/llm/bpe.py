@@ -21,7 +21,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -57,6 +57,20 @@ def unicode_classes() -> dict[str, str | dict[int, str]]:
     return out
 
 
+def _narrow(ranges: str) -> str:
+    """The part of regex ranges up to U+FFFF."""
+    pairs = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\U(\w{8})-\\U(\w{8})", ranges)]
+    return "".join(f"\\U{a:08x}-\\U{min(b, 0xFFFF):08x}" for a, b in pairs if a <= 0xFFFF)
+
+
+def _pieces(pattern: str, classes: dict) -> Callable[[str], list[str]]:
+    """findall of the file's split pattern, its \\p{L}, \\p{N} and \\s written out as ranges."""
+    inside, alone = re.compile(r"\[\^([^\]]*)\]"), {rf"\p{{{k}}}": classes[k] for k in "LN"}
+    swap = lambda text, form: functools.reduce(lambda t, k: t.replace(k, form.format(alone[k])), alone, text)
+    pattern = inside.sub(lambda m: swap(m[0], "{}"), pattern)
+    return re.compile(swap(pattern, "[{}]").replace(r"\s", _WHITE)).findall
+
+
 class Bpe:
     """encode(text) -> ids and decode(ids) -> text, as the tokenizers library for the same file."""
 
@@ -71,12 +85,12 @@ class Bpe:
         self.text_of = {i: t for t, i in bpe["vocab"].items()} | {i: t for t, i in self.special.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"].replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
-        inside, alone = re.compile(r"\[\^([^\]]*)\]"), {rf"\p{{{k}}}": classes[k] for k in "LN"}
-        swap = lambda text, form: functools.reduce(lambda t, k: t.replace(k, form.format(alone[k])), alone, text)
-        pattern = inside.sub(lambda m: swap(m[0], "{}"), pattern)
-        self.pieces = re.compile(swap(pattern, "[{}]").replace(r"\s", _WHITE)).findall
+        self.pieces = _pieces(pattern, classes)
+        # characters over U+FFFF make Python's classes slow to miss, so texts without them, nearly all, get classes without them;
+        # the same search finds characters of other lower case, whose lower case may be any
+        self.narrow_pieces = _pieces(pattern, {k: _narrow(classes[k]) for k in "LN"})
         self.lower = classes["lower"]
-        self.special_lower = re.compile("[" + "".join(map(re.escape, map(chr, self.lower))) + "]").search
+        self.rare = re.compile("[\U00010000-\U0010ffff" + "".join(re.escape(chr(c)) for c in self.lower if c <= 0xFFFF) + "]").search
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
         symbol = {c: chr(b) for b, c in enumerate(_byte_chars())}
@@ -143,22 +157,25 @@ class Bpe:
             at -= sizes[back[at]]
         return [self.ids[k] for k in reversed(out)]
 
-    def _spans(self, text: str) -> Iterator[tuple[int, bytes, str]]:
+    def _learn(self, piece: str) -> tuple[int, bytes, str]:
+        ids = self.word(piece)
+        if len(self.cache) >= _CACHED:
+            self.cache.clear()
+        known = self.cache[piece] = (len(ids), array("I", ids).tobytes(), self.decode(ids))
+        return known
+
+    def _spans(self, text: str) -> list[tuple[int, bytes, str]]:
         """(count, ids as little-endian unsigned 32-bit integers, decoded) of each word or special token."""
-        cache = self.cache
+        known, learn, out = self.cache.get, self._learn, []
         for k, part in enumerate(self.cuts.split(text) if self.cuts else [text]):
             if k % 2:
-                yield 1, array("I", [self.special[part]]).tobytes(), part
+                out.append((1, array("I", [self.special[part]]).tobytes(), part))
                 continue
             plain = unicodedata.normalize("NFC", part)
-            plain = (plain.translate(self.lower) if self.special_lower(plain) else plain).lower()
-            for piece in self.pieces(plain):
-                if (known := cache.get(piece)) is None:
-                    ids = self.word(piece)
-                    if len(cache) >= _CACHED:
-                        cache.clear()
-                    known = cache[piece] = (len(ids), array("I", ids).tobytes(), self.decode(ids))
-                yield known
+            rare = self.rare(plain)
+            plain = (plain.translate(self.lower) if rare else plain).lower()
+            out += [known(p) or learn(p) for p in (self.pieces if rare else self.narrow_pieces)(plain)]
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -169,8 +186,8 @@ class Bpe:
 
     def both(self, text: str | None) -> tuple[int, bytes, str]:
         """count, ids, and the decoded text: words decode on their own, joined by one space, as the file has no decoder."""
-        spans = list(self._spans(text or ""))
-        return sum([x[0] for x in spans]), b"".join([x[1] for x in spans]), " ".join([x[2] for x in spans])
+        counts, ids, words = zip(*(self._spans(text or "") or [(0, b"", "")]), strict=True)
+        return sum(counts), b"".join(ids), " ".join(words)
 
 
 _built: dict[str, Bpe] = {}
