@@ -96,3 +96,19 @@ def binned(n: Column, edges: list[int], names: list[str]) -> Column:
     for low, high, name in zip(edges, [*edges[1:], None], names, strict=True):
         out = out.when((n >= low) & (n < high) if high is not None else n >= low, name)
     return out
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The version 5 UUID of name: SHA-1 over the namespace's bytes and the name, version and variant bits set."""
+    space = F.unhex(F.lit(namespace.replace("-", "")))
+    h = F.sha1(F.concat(space, F.encode(name, "UTF-8")))
+    variant = F.element_at(F.split(F.lit("8 9 a b"), " "), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1)
+    part = lambda a, n: F.substring(h, a, n)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def concept_id(namespace: str, term: Column, year: Column) -> Column:
+    """A stable id of a concept by its normal term and the year of its first finding; an empty term or a year outside 1900 to 2100 is an error."""
+    key = F.lower(F.trim(term))
+    good = (key != "") & year.between(1900, 2100)
+    return F.when(good, uuid5(namespace, F.concat_ws("|", key, year.cast("string")))).otherwise(F.raise_error(F.lit("a concept needs a term and a year")))

@@ -19,6 +19,8 @@ REASONS = [
     ("LLM 存疑", "无法判断|难以确定|不确定|证据不足|信息不足"),
 ]
 OTHER_REASON = "真误判(与AI开发无关)"
+#: the namespace of concept ids, a parameter of a deployment: here the one that RFC 4122 names for URLs
+NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 _PLACE = "sha256({k}::VARCHAR || '|{seed}')"
 
 
@@ -45,6 +47,11 @@ def P5_missing_labels(s, d):
     return v.posts(s, d).select("recruit_id", F.coalesce(F.nullif(city, F.lit("")), F.lit("CITY_MISSING")).alias("city"))
 
 
+@query()
+def P10_concept_ids(s, d):
+    return v.table(s, d, "part").select("p_partkey", tx.concept_id(NAMESPACE, F.col("p_name"), (F.col("p_size") + 1990).cast("int")).alias("concept_id"))
+
+
 @query("SELECT DISTINCT 'S' || lpad(skill_code::VARCHAR, 3, '0') AS skill_id, skill_code, tier FROM v_pairs")
 def P13_P14_skill_decode(s, d):
     codes = v.pairs(s, d).select("skill_code", "tier").distinct()

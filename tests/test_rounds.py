@@ -1,9 +1,11 @@
 """Model replies, chunks and discovery rounds on small fixtures."""
 
 import random
+import uuid
 
 from pyspark.sql import functions as F
 
+from laborlens.functions import text as tx
 from laborlens.operators import replies, sampling
 
 
@@ -76,3 +78,9 @@ def test_round_sample(spark):
     parts = [r.component for r in got]
     assert len({r.job_id for r in got}) == 30
     assert [parts.count(p) for p in ("low_coverage", "main_anchor", "general", "quota_shortfall_fill")] == [5, 3, 9, 13]
+
+
+def test_concept_ids(spark):
+    rows = spark.createDataFrame([(f" Térm {i} 深度", 1990 + i) for i in range(40)], "t string, y int")
+    got = rows.select("t", "y", tx.concept_id(str(uuid.NAMESPACE_URL), F.col("t"), F.col("y")).alias("id")).collect()
+    assert all(r.id == str(uuid.uuid5(uuid.NAMESPACE_URL, f"{r.t.strip().lower()}|{r.y}")) for r in got)
