@@ -1,6 +1,7 @@
 """HTML as a sequence of text blocks, each with the path of tags above it.
 
-A small tolerant tokenizer: comments, declarations, raw-text elements, quoted attributes, tags cut off at the end of the
+A small tolerant tokenizer: comments, declarations, raw-text elements, attributes quoted as HTML quotes them (a stray quote is no
+delimiter: the tag ends at the next '>'), tags cut off at the end of the
 input (they and what would be inside them go). Blocks end at block-level tags and line breaks; inline tags only take part
 in the path. Character references are decoded, white space becomes one space, empty blocks go.
 """
@@ -17,8 +18,12 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _CLOSED_BY = {"p": "p h1 h2 h3 h4 h5 h6 ul ol dl table div section article aside nav header footer main form blockquote pre hr figure fieldset address details", "li": "li", "td": "td th tr", "th": "td th tr", "tr": "tr", "dt": "dt dd", "dd": "dt dd", "option": "option"}
 _ENDS = {t: {k for k, v in _CLOSED_BY.items() if t in v.split()} for t in {t for v in _CLOSED_BY.values() for t in v.split()}}
 _SCOPE = frozenset("ul ol table td th div section article main body form".split())
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+# an attribute as HTML reads it: a quote delimits only right after "=", anywhere else it is a character of a name or a value
+_VALUE = r"""\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>][^\s>]*+)?+"""
+_NAME = r"[^\s/>][^\s/>=]*+"
+_TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|{_NAME}(?:{_VALUE.replace('(', '(?:', 1)})?+)*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_VALUE})?+")
+_MARKED = frozenset(("class", "id", "role"))
 _PART = re.compile(r"[a-z0-9]+")
 _WHITE = "[ \t\n\r\f\v]"
 
@@ -27,7 +32,7 @@ def _marks(name: str, attrs: str) -> tuple[str, ...]:
     """The element's tokens: its tag, and the words of its class, id and role."""
     if "=" not in attrs:
         return (name,)
-    parts = [p for _, v in _NAMED.findall(attrs) for p in _PART.findall(v.lower())]
+    parts = [p for k, v in _ATTRIBUTE.findall(attrs) if k.lower() in _MARKED for p in _PART.findall(v.lower())]
     return (name, *("." + p for p in parts[:8]))
 
 

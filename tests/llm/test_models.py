@@ -105,6 +105,17 @@ def test_blocks():
     assert blocks(None) == [] and blocks("1 < 2")[0][1] == "1 < 2"
 
 
+def test_stray_quotes():
+    says = lambda page: [t for _, t, _ in blocks(page)]
+    assert says('<article><p><a href="x"">link</a> one.</p><p>two.</p><p class="k">three.</p></article>') == ["link one.", "two.", "three."]
+    assert says("<p>a</p><p title=Bob's>b</p><p>it's c</p>") == ["a", "b", "it's c"]
+    assert says("<p>a</p><p title=Bob's>b</p><p>c</p>") == ["a", "b", "c"]
+    assert says("<p>a</p><p \">b</p><p 'x>c</p></p'>d") == ["a", "b", "c", "d"]
+    assert says("<p title = 'x>y' lang=\"a>b\"alt=>a</p><p x= 'u>v>b</p>' y>c") == ["a", "c"]
+    marks = blocks("<div id='a'class=\"b c\" title=' role=n'><p>a")[0][0][0]
+    assert marks == ("div", ".a", ".b", ".c")
+
+
 def test_extraction(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = {r.page_id: r.text for r in extract.extracted(pages).collect()}
