@@ -1,8 +1,9 @@
 """Main-text extraction: a recurrent block labeller.
 
-A page is the sequence of its leaf text blocks (`html_blocks`). Each block is a vector: the mean of learned vectors of the
-hashed parts of its tag path (tags, words of class, id and role), of hashed words of its text, and a few measures (length,
-share of link text, place). A bidirectional LSTM in numpy reads the sequence from both sides, so that every block is labelled with
+A page is the sequence of its leaf text blocks (`html_blocks`). Each block is a vector: the learned vectors of all hashed parts of
+its tag path (all tags, all words of class, id and role), over the root of their number, those of all hashed words of its text, over
+the damped length of their vector of counts, and a few measures (length, share of link text, place). Blocks share the sums of the paths they share, so
+time and memory are linear in the page. A bidirectional LSTM in numpy reads the sequence from both sides, so that every block is labelled with
 the whole document in view. The blocks labelled as article are joined by a space.
 
 There are no labelled pages, so the model is trained on the driver on pages that `drafts` writes: random layouts of articles
@@ -27,28 +28,44 @@ from pyspark.sql import functions as F
 
 from .html_blocks import blocks
 
-BUCKETS, WIDTH, HIDDEN, WORDS = 4096, 24, 24, 12
+BUCKETS, WIDTH, HIDDEN = 4096, 24, 24
 _MEASURES = 8
 _BATCH = 32
+_CHUNK = 1 << 16
+_DAMP = 12
 
 
 def _hash(token: str) -> int:
     return 1 + zlib.crc32(token.encode()) % (BUCKETS - 1)
 
 
-_hash_path = functools.lru_cache(20_000)(lambda marks: [_hash("<" + m) for m in marks])
+_hash_marks = functools.lru_cache(20_000)(lambda marks: [_hash("<" + m) for m in marks])
+_hash_word = functools.lru_cache(100_000)(_hash)
 
 
-def encode(page: list) -> tuple[list[list[int]], np.ndarray]:
-    """Hashed tokens and measures of each block of a page."""
+def encode(page: list) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, list[tuple[int, list[int]]]]:
+    """(place of its path, hashed words) and measures of each block of a page, and the paths: (place of the one above, hashed marks)."""
     ids, rest = [], np.zeros((len(page), _MEASURES), dtype=np.float32)
+    paths: list[tuple[int, list[int]]] = []
+    places: dict = {}
     for k, (path, text, linked) in enumerate(page):
-        tokens = [i for marks in path[-12:] for i in _hash_path(marks)]
-        words = text.split(None, WORDS)[:WORDS]
-        ids.append(tokens * 2 + [_hash(w.lower()) for w in words])
+        new, at = [], path or None
+        while at is not None and at not in places:
+            new.append(at)
+            at = at.above
+        for p in reversed(new):
+            places[p] = len(paths)
+            paths.append((places[p.above] if p.above else -1, _hash_marks(p.marks)))
+        words = text.lower().split()
+        ids.append((places[path] if path else -1, np.fromiter(map(_hash_word, words), np.int16, len(words))))
         n = len(text)
         rest[k] = (min(1.0, n / 400), n < 25, linked / n, text[-1:] in ".!?…", "©" in text, k < 3, k >= len(page) - 3, min(1.0, len(page) / 50))
-    return ids, rest
+    return ids, rest, paths
+
+
+def _norm(words: np.ndarray) -> float:
+    """Length of the vector of the words' counts, damped: neither a repeated word nor a single one outweighs the path."""
+    return float(np.sqrt((np.unique(words, return_counts=True)[1] ** 2).sum() + _DAMP))
 
 
 class Labeller:
@@ -64,26 +81,44 @@ class Labeller:
             bias[h : 2 * h] = 1
             self.p |= {f"W{k}": draw(d, 4 * h), f"U{k}": draw(h, 4 * h), f"B{k}": bias}
 
+    def path_sums(self, paths: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors of each path's marks, added up from the root, and how many they are."""
+        sums, sizes = np.zeros((len(paths), WIDTH), np.float32), np.zeros(len(paths), np.float32)
+        for k, (above, marks) in enumerate(paths):
+            sums[k] = self.p["E"][marks].sum(axis=0)
+            sizes[k] = len(marks)
+            if above >= 0:
+                sums[k] += sums[above]
+                sizes[k] += sizes[above]
+        return sums, sizes
+
     def vectors(self, pages: list) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """(time, page, feature) input, mask, and which tokens went where."""
+        """(time, page, feature) input, mask, and which words and paths went where."""
         n, t = len(pages), max(len(p[0]) for p in pages)
         x = np.zeros((t, n, WIDTH + _MEASURES), dtype=np.float32)
         mask = np.zeros((t, n), dtype=np.float32)
-        spots, tokens, weight = [], [], []
-        for j, (ids, rest) in enumerate(pages):
+        counts = np.array([len(words) for p in pages for _, words in p[0]])
+        spots = np.array([i * n + j for j, p in enumerate(pages) for i in range(len(p[0]))])
+        tokens = np.concatenate([words for p in pages for _, words in p[0]])
+        flat, own = np.zeros((t * n, WIDTH), dtype=np.float32), np.repeat(np.arange(len(spots)), counts)
+        for at in range(0, len(tokens), _CHUNK):
+            part = own[at : at + _CHUNK]
+            edge = np.flatnonzero(np.diff(part, prepend=-1))
+            flat[spots[part[edge]]] += np.add.reduceat(self.p["E"][tokens[at : at + _CHUNK]], edge, axis=0)
+        scale = np.array([_norm(words) ** -1 for p in pages for _, words in p[0]], dtype=np.float32)
+        flat[spots] *= scale[:, None]
+        shares = []
+        for j, (ids, rest, paths) in enumerate(pages):
             mask[: len(ids), j] = 1
             x[: len(ids), j, WIDTH:] = rest
-            for i, own in enumerate(ids):
-                spots += [i * n + j] * len(own)
-                tokens += own
-                weight += [len(own) ** -0.5] * len(own)
-        spots, tokens, weight = np.array(spots, dtype=np.int64), np.array(tokens, dtype=np.int64), np.array(weight, dtype=np.float32)
-        flat = np.zeros((t * n, WIDTH), dtype=np.float32)
-        edge = np.flatnonzero(np.diff(spots, prepend=-1))
-        if len(edge):
-            flat[spots[edge]] = np.add.reduceat(self.p["E"][tokens] * weight[:, None], edge, axis=0)
+            places = np.array([place for place, _ in ids])
+            rows = np.flatnonzero(places >= 0)
+            sums, sizes = self.path_sums(paths)
+            share = sizes[places[rows]] ** -0.5
+            flat[rows * n + j] += sums[places[rows]] * share[:, None]
+            shares.append((rows, places[rows], share))
         x[:, :, :WIDTH] = flat.reshape(t, n, WIDTH)
-        return x, mask, (spots, tokens, weight)
+        return x, mask, (tokens, spots[own], scale[own], shares)
 
     def _lstm(self, x: np.ndarray, mask: np.ndarray, k: str) -> tuple[np.ndarray, list]:
         w, u, b, h = self.p[f"W{k}"], self.p[f"U{k}"], self.p[f"B{k}"], HIDDEN
@@ -110,7 +145,7 @@ class Labeller:
         return both @ self.p["V"] + self.p["c"], (both, tf, tb)
 
     def gradients(self, pages: list, labels: list) -> dict:
-        x, mask, (spots, tokens, weight) = self.vectors(pages)
+        x, mask, (tokens, spots, scale, shares) = self.vectors(pages)
         s, (both, tf, tb) = self.scores(x, mask)
         y = np.zeros_like(s)
         for j, own in enumerate(labels):
@@ -138,7 +173,15 @@ class Labeller:
                 dc = dnew * f + dc * (1 - m)
             grads |= {f"W{k}": gw, f"U{k}": gu, f"B{k}": gb}
         ge = np.zeros_like(self.p["E"])
-        np.add.at(ge, tokens, dx[:, :, :WIDTH].reshape(-1, WIDTH)[spots] * weight[:, None])
+        np.add.at(ge, tokens, dx[:, :, :WIDTH].reshape(-1, WIDTH)[spots] * scale[:, None])
+        for j, ((_, _, paths), (rows, places, share)) in enumerate(zip(pages, shares, strict=True)):
+            back = np.zeros((len(paths), WIDTH), np.float32)
+            np.add.at(back, places, dx[rows, j, :WIDTH] * share[:, None])
+            for k in range(len(paths) - 1, -1, -1):
+                above, marks = paths[k]
+                if above >= 0:
+                    back[above] += back[k]
+                np.add.at(ge, marks, back[k])
         return grads | {"E": ge}
 
     def train(self, pages: list, labels: list, epochs: int, seed: int, rate: float = 0.01) -> Labeller:
@@ -182,6 +225,13 @@ def drafts(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
         text = text.upper() if chance(0.06) else text.capitalize() if chance(0.9) else text
         return text + pick([".", ".", ".", "", "!", "?", " |", ":"])
 
+    def deep(inner):
+        """inner, at times under many levels of elements that say nothing, some with long lists of utility classes."""
+        if chance(0.8):
+            return inner
+        levels = [pick(["<div>", "<div>", "<section>", f'<div class="{" ".join(word() for _ in range(int(rng.integers(1, 14))))}">']) for _ in range(int(rng.integers(1, 30)))]
+        return "".join(levels) + inner + "".join("</" + x[1:].split(" ")[0].rstrip(">") + ">" for x in reversed(levels))
+
     def menu():
         items = "".join(f'<li><a href="/{word()}">{" ".join(word() for _ in range(int(rng.integers(1, 4))))}</a></li>' for _ in range(int(rng.integers(2, 9))))
         return pick(["<nav><ul>{}</ul></nav>", '<div class="menu"><ul>{}</ul></div>', '<ul class="nav navbar">{}</ul>', '<nav class="breadcrumbs">{}</nav>', '<div id="navigation">{}</div>', '<div role="navigation">{}</div>', "<header><ul>{}</ul></header>", '<div class="pagination pager">{}</div>', '<div class="tags share social">{}</div>']).format(items)
@@ -189,6 +239,7 @@ def drafts(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
     def aside():
         text = prose(3, 40)
         inner = pick(["{}", "<p>{}</p>", "<h3>" + prose(1, 4) + "</h3><p>{}</p>", "<ul><li><a href='/x'>{}</a></li></ul>", "<span>{}</span>", "<a href='/y'>{}</a>"]).format(text)
+        inner = deep(inner)
         return pick(['<div class="ad">{}</div>', '<div class="ads banner">{}</div>', '<div class="advert">{}</div>', '<div class="sponsored promo">{}</div>', "<aside>{}</aside>", '<aside class="sidebar">{}</aside>', '<div class="sidebar">{}</div>', '<div id="sidebar" class="widget">{}</div>', '<div class="related">{}</div>', '<div class="cookie notice">{}</div>', '<div id="cookie-banner">{}</div>', '<div class="alert consent">{}</div>', '<div class="notice">{}</div>', '<div class="newsletter popup">{}</div>', '<section class="related recommended">{}</section>', '<div class="advertisement">{}</div>', '<div class="cookies gdpr privacy">{}</div>', '<div class="modal overlay subscribe">{}</div>']).format(inner)
 
     def form():
@@ -196,7 +247,7 @@ def drafts(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
 
     def comments():
         one = lambda: pick(["<div class='comment'><b>{}</b><p>{}</p></div>", "<li class='comment'><span class='author'>{}</span><p>{}</p></li>", "<article class='comment'><h4>{}</h4><p>{}</p></article>", "<p><b>{}</b>: {}</p>"]).format(word(), prose(3, 60))
-        inner = "".join(one() for _ in range(int(rng.integers(1, 6))))
+        inner = deep("".join(one() for _ in range(int(rng.integers(1, 6)))))
         return pick(['<div class="comments">{}</div>', '<section id="comments"><h2>' + prose(1, 3) + "</h2>{}</section>", '<ol class="comment-list">{}</ol>', '<div id="disqus_thread" class="responses comments">{}</div>', '<section class="comments">{}</section>', '<div class="reader-comments discussion">{}</div>']).format(inner)
 
     def footer():
@@ -242,7 +293,7 @@ def drafts(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
                 body.append(pick([aside, form, aside])())
             else:
                 add("{}<br>", 1, 40)
-        inner = "".join(body)
+        inner = deep("".join(body))
         return pick(["<article>{}</article>"] * 6 + ['<div class="content">{}</div>', '<main>{}</main>', "<main><article>{}</article></main>", '<div id="content" class="post">{}</div>', '<div class="article body">{}</div>', '<div class="entry-content">{}</div>', '<article class="post"><div class="text">{}</div></article>', '<section class="story">{}</section>', '<div role="main">{}</div>']).format(inner), kept
 
     for _ in range(n):
@@ -250,7 +301,7 @@ def drafts(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
         before = [x() for x in (header, menu, aside, form) for _ in range(int(rng.integers(0, 3))) if chance(0.5)]
         after = [x() for x in (aside, comments, menu, form, aside) if chance(0.4)] + [footer() for _ in range(2) if chance(0.7)]
         rng.shuffle(before)
-        page = "".join(["<html><head><title>", prose(1, 9), "</title></head><body>", *before, main, *after, *["</body></html>"] * chance(0.9)])
+        page = "".join(["<html><head><title>", prose(1, 9), "</title></head><body>", *before, deep(main), *map(deep, after), *["</body></html>"] * chance(0.9)])
         if chance(0.3):
             page = page.replace("<body>", "<body><div class='wrapper page'>", 1)
         yield page, kept

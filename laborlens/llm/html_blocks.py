@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 # fixed values of the HTML standard
 _RAW = frozenset("script style title textarea noscript template svg iframe noembed noframes xmp math".split())
@@ -33,15 +35,32 @@ def _marks(name: str, attrs: str) -> tuple[str, ...]:
     if "=" not in attrs:
         return (name,)
     parts = [p for k, v in _ATTRIBUTE.findall(attrs) if k.lower() in _MARKED for p in _PART.findall(v.lower())]
-    return (name, *("." + p for p in parts[:8]))
+    return (name, *("." + p for p in parts))
 
 
-def blocks(source: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
+class Path:
+    """An element's marks and the path above it. Blocks share the parts of their paths, at any depth."""
+
+    __slots__ = ("above", "marks")
+
+    def __init__(self, marks: tuple[str, ...], above: Path | None):
+        self.marks, self.above = marks, above
+
+    def __iter__(self) -> Iterator[tuple[str, ...]]:
+        """The marks of the elements, innermost first."""
+        at: Path | None = self
+        while at is not None:
+            yield at.marks
+            at = at.above
+
+
+def blocks(source: str | None) -> list[tuple[Path | tuple[()], str, int]]:
     """(path, text, characters of the text inside links) of each block with text, in page order."""
     out: list = []
-    path: list[tuple[str, ...]] = []
+    path: list[Path] = []
+    within: Counter = Counter()  # open elements by tag
     parts: list[str] = []
-    state = {"path": (), "links": 0}
+    state = {"path": (), "links": 0, "said": False}
     source = source or ""
     at, end = 0, len(source)
 
@@ -51,13 +70,23 @@ def blocks(source: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str, i
             if text:
                 out.append((state["path"], text, min(state["links"], len(text))))
             parts.clear()
-        state["links"] = 0
+        state["links"], state["said"] = 0, False
+
+    def leave(keep: int) -> None:
+        """Close the elements from `keep` inward."""
+        within.subtract(p.marks[0] for p in path[keep:])
+        del path[keep:]
+
+    def enter(marks: tuple[str, ...]) -> None:
+        path.append(Path(marks, path[-1] if path else None))
+        within[marks[0]] += 1
 
     def say(text: str) -> None:
         if text:
-            if not parts or not "".join(parts).strip():
-                state["path"] = tuple(path)
-            if any(m[0] == "a" for m in path):
+            if not state["said"]:
+                state["path"] = path[-1] if path else ()
+                state["said"] = not text.isspace()
+            if within["a"]:
                 state["links"] += len(text)
             parts.append(text)
 
@@ -76,13 +105,14 @@ def blocks(source: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str, i
         if m[4] != ">":
             break
         if m[1]:
-            tags = [p[0] for p in path]
-            if name in tags:
-                keep = len(tags) - 1 - tags[::-1].index(name)
-                if name in _INLINE:
-                    del path[keep]
-                else:
-                    del path[keep:]
+            if within[name]:
+                keep = len(path) - 1
+                while path[keep].marks[0] != name:
+                    keep -= 1
+                inner = [p.marks for p in path[keep + 1 :]] if name in _INLINE else []
+                leave(keep)
+                for marks in inner:
+                    enter(marks)
             continue
         if name in _RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
@@ -90,15 +120,13 @@ def blocks(source: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str, i
             continue
         if name in _VOID or m[3].endswith("/"):
             continue
-        if drop := _ENDS.get(name):
+        if (drop := _ENDS.get(name)) and any(within[d] for d in drop):
             for k in range(len(path) - 1, -1, -1):
-                if path[k][0] in drop:
-                    del path[k:]
+                if path[k].marks[0] in drop:
+                    leave(k)
                     break
-                if path[k][0] in _SCOPE:
+                if path[k].marks[0] in _SCOPE:
                     break
-        path.append(_marks(name, m[3]))
-        if len(path) > 60:
-            del path[30]
+        enter(_marks(name, m[3]))
     flush()
     return out

@@ -112,8 +112,29 @@ def test_stray_quotes():
     assert says("<p>a</p><p title=Bob's>b</p><p>c</p>") == ["a", "b", "c"]
     assert says("<p>a</p><p \">b</p><p 'x>c</p></p'>d") == ["a", "b", "c", "d"]
     assert says("<p title = 'x>y' lang=\"a>b\"alt=>a</p><p x= 'u>v>b</p>' y>c") == ["a", "c"]
-    marks = blocks("<div id='a'class=\"b c\" title=' role=n'><p>a")[0][0][0]
-    assert marks == ("div", ".a", ".b", ".c")
+    assert ("div", ".a", ".b", ".c") in blocks("<div id='a'class=\"b c\" title=' role=n'><p>a")[0][0]
+
+
+def test_whole_paths_and_texts_are_read():
+    model = extract.Labeller()
+    model.p["E"] = np.random.default_rng(1).standard_normal(model.p["E"].shape).astype(np.float32)
+    rows = lambda page: model.vectors([extract.encode(blocks(page))])[0][0, 0, : extract.WIDTH]
+    far, near = "<div>" * 70, "<div class='a b c d e f g h {}'>x"
+    for one, two in (("w " * 12 + "advert", "w " * 12 + "story"), ("<nav>" + far + "x", "<main>" + far + "x"), (near.format("ad"), near.format("post"))):
+        assert np.abs(rows(one) - rows(two)).max() > 1e-3
+    own = blocks("<article>" + "<div>" * 90 + "<p>a" + "</div>" * 90 + "<p>b</article>c")
+    assert [("article" in [m[0] for m in path], sum(m[0] == "div" for m in path)) for path, _, _ in own] == [(True, 90), (True, 0), (False, 0)]
+    ids, _, paths = extract.encode(blocks("<font>a<br>" * 20_000))
+    assert len(ids) == len(paths) == 20_000 and model.path_sums(paths)[1][-1] == 20_000
+
+
+def test_marks_far_up_count():
+    story = "<article><h1>Ka tise</h1>" + "<p>Dase mito pana fe kelu nora ti samo vidu keba.</p>" * 5 + "</article>"
+    for depth in (0, 15, 30):
+        o, c = "<div>" * depth, "</div>" * depth
+        page = f"<body>{o}{story}{c}<div class='comments'>{o}<p>Some text here that tells.</p>{c}</div><div class='sidebar'>{o}<p>Other words stand here.</p>{c}</div></body>"
+        text = extract.main_text([page], extract.trained())[0]
+        assert "Dase" in text and "Some" not in text and "Other" not in text
 
 
 def test_extraction(spark, small):
