@@ -8,18 +8,36 @@ from pyspark.sql import functions as F
 from laborlens.functions import text as tx
 
 
+def bad_day(rows: DataFrame) -> Column:
+    """Whether a row's day is before the first day or missing."""
+    return F.coalesce(F.col("day") < 0, F.lit(True))
+
+
+def preferred(rows: DataFrame) -> Column:
+    """A struct that is least for the row to keep: the most complete (`comp`), of the longest text (`dlen`), of a good day, the earliest, of the
+    least event_id. Tables without comp or dlen are judged by the rest; a row whose comp or dlen is null comes last."""
+    sizes = [x for c in ("comp", "dlen") if c in rows.columns for x in (F.col(c).isNull().alias(f"no_{c}"), (-F.col(c)).alias(c))]
+    return F.struct(*sizes, bad_day(rows).alias("bad"), "day", "event_id")
+
+
 def rule_one(visits: DataFrame) -> DataFrame:
-    """(rid, day, event_id, rule1_dups): the first row of each rid by (day, event_id), and how many it stands for beyond itself.
+    """(rid, day, event_id, rule1_dups): the preferred row of each rid, and how many it stands for beyond itself.
     A minimum of a struct, so that a hot rid is aggregated before the shuffle."""
-    return visits.groupBy("rid").agg(F.min(F.struct("day", "event_id")).alias("x"), (F.count("*") - 1).alias("rule1_dups")).select("rid", "x.day", "x.event_id", "rule1_dups")
+    return visits.groupBy("rid").agg(F.min(preferred(visits)).alias("x"), (F.count("*") - 1).alias("rule1_dups")).select("rid", "x.day", "x.event_id", "rule1_dups")
 
 
 def bucketed(visits: DataFrame, width: int) -> DataFrame:
-    """(rid, bucket, records, earliest_day, latest_day, canonical): buckets of `width` days counted from the first day of each rid."""
-    first = visits.groupBy("rid").agg(F.min("day").alias("first"))
-    rows = visits.join(first, "rid").withColumn("bucket", F.floor((F.col("day") - F.col("first")) / width).cast("int"))
-    best = F.min(F.struct("day", "event_id"))
-    return rows.groupBy("rid", "bucket").agg(F.count("*").alias("records"), F.min("day").alias("earliest_day"), F.max("day").alias("latest_day"), best.alias("best")).select("rid", "bucket", "records", "earliest_day", "latest_day", F.col("best.event_id").alias("canonical"))
+    """(rid, bucket, records, earliest_day, latest_day, canonical): buckets of `width` days counted from the first day of each rid, bad
+    days included; each row of a bad day has the bucket 999999 + its place among the rid's rows by event_id. Only rids with such rows are sorted."""
+    first = visits.groupBy("rid").agg(F.min("day").alias("first"), F.max(bad_day(visits)).alias("some_bad"))
+    rows = visits.join(first, "rid")
+    counted = F.floor((F.col("day") - F.col("first")) / width).cast("int")
+    place = F.row_number().over(Window.partitionBy("rid").orderBy("event_id"))
+    good = rows.where(~F.col("some_bad")).withColumn("bucket", counted)
+    mixed = rows.where("some_bad").withColumn("place", place).withColumn("bucket", F.when(bad_day(rows), 999_999 + F.col("place")).otherwise(counted)).drop("place")
+    both = good.unionByName(mixed)
+    best = F.min(preferred(both))
+    return both.groupBy("rid", "bucket").agg(F.count("*").alias("records"), F.min("day").alias("earliest_day"), F.max("day").alias("latest_day"), best.alias("best")).select("rid", "bucket", "records", "earliest_day", "latest_day", F.col("best.event_id").alias("canonical"))
 
 
 def admitted(posts: DataFrame) -> DataFrame:
