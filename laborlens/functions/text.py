@@ -66,14 +66,22 @@ def position_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[\\s()\\[\\]{}<>0-9#_\\-]+", "")
 
 
-def cleaned(text: Column) -> Column:
-    """Control characters to blanks, tags away, rule lines away, repeated punctuation and blanks collapsed, at most one empty line."""
+# Lines that are rules or nothing but a heading word, and the marks of which a run, mixed or with blanks between, becomes its first.
+TEMPLATE_LINE = "(?mdU)^(?:[-—=＝*_#\\s　·．.。]{4,}|(?:职位介绍|岗位职责|任职要求|工作内容|岗位要求)\\s*[:：]?\\s*)$"
+_MARKS = "，。、；：．.！!？?；;"
+
+
+def cleaned(text: Column, template_lines: tuple[str, ...] = ()) -> Column:
+    """Control characters to blanks, tags away, rule lines, heading-word lines and the given template lines away, runs of marks and
+    blanks collapsed, at most one empty line."""
     t = F.regexp_replace(text, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", " ")
     t = F.when(t.contains("<") & t.contains(">"), F.regexp_replace(t, "<[^>]*>", " ")).otherwise(t)
-    t = F.regexp_replace(t, "(?m)^[\\-=_*#~ ]{4,}$", "")
-    t = F.regexp_replace(t, "([!?.,;:。！？，；：])\\1+", "$1")
-    t = F.regexp_replace(F.regexp_replace(t, "[ \\t]{2,}", " "), "\\n{3,}", "\n\n")
-    return F.trim(t)
+    t = F.regexp_replace(t, TEMPLATE_LINE, "\n")
+    for line in template_lines:
+        t = F.replace(t, F.lit(line), F.lit("\n"))
+    t = F.regexp_replace(t, f"(?U)([{_MARKS}])\\s*+[{_MARKS}][{_MARKS}\\s]*+", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, "[ \\t　]{2,}", " "), "\\n{3,}", "\n\n")
+    return F.regexp_replace(t, "(?U)\\A\\s+|\\s+\\z", "")
 
 
 def year_of(time: Column) -> Column:

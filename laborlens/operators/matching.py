@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -14,26 +16,43 @@ from pyspark.sql import functions as F
 DICTIONARY_ROWS = 2_000_000
 
 
-def longest_matches(posts: DataFrame, terms: DataFrame) -> DataFrame:
-    """posts (id, text), terms (term, skill_id) -> (id, skill_id, surface, start, mention_count).
+# Terms whose concept is matched only in texts where the pattern occurs.
+GUARDS = {"深度学习": "深度学习(?!能力|精神|意识|态度|习惯|思考|领悟|钻研|学习|力)", "强化学习": "强化学习(?!能力|学习)"}
+
 
-    All occurrences that don't touch another ASCII letter or digit are taken longest first (then leftmost, then by
-    skill_id), each only where nothing taken before overlaps it. One row for each skill: its first place and how often.
+def matches_with_evidence(posts: DataFrame, terms: DataFrame, guards: dict[str, str] = GUARDS) -> DataFrame:
+    """posts (id, text), terms (term, skill_id, and ambiguous where there is such a column) -> (id, skill_id, surface, start, mention_count,
+    ambiguous, covered: what the skill's mentions lie over).
+
+    All occurrences are taken longest first (then leftmost, then by skill_id), each only where nothing taken before overlaps it; one that
+    is not taken is covered by the first taken that it overlaps. Occurrences of ASCII terms must not touch another ASCII letter or digit, but
+    digits may follow c++ and c#. A skill with a term in `guards` is matched only in texts where the pattern occurs. One row for each skill:
+    its first place and how often.
     """
-    rows = terms.select(F.lower("term").alias("term"), "skill_id").distinct().limit(DICTIONARY_ROWS + 1).collect()
+    unsure = F.coalesce(F.col("ambiguous").cast("boolean"), F.lit(False)) if "ambiguous" in terms.columns else F.lit(False)
+    rows = terms.groupBy(F.lower("term").alias("term"), "skill_id").agg(F.max(unsure).alias("ambiguous")).limit(DICTIONARY_ROWS + 1).collect()
     if len(rows) > DICTIONARY_ROWS:
         raise ValueError(f"over {DICTIONARY_ROWS} terms: split the dictionary")
     owners: dict[str, list] = {}
     for r in rows:
         owners.setdefault(r.term, []).append(r.skill_id)
-    shared = posts.sparkSession.sparkContext.broadcast({t: min(s) for t, s in owners.items() if t})
+    flagged = {r.term for r in rows if r.ambiguous}
+    needs = {r.skill_id: guards[r.term] for r in sorted(rows, key=lambda r: str(r.term)) if r.term in guards}
+    shared = posts.sparkSession.sparkContext.broadcast(({t: min(s) for t, s in owners.items() if t}, flagged, needs))
+
+    def touches(text: str, at: int, digits: bool) -> bool:
+        c = text[at] if 0 <= at < len(text) else ""
+        return c.isascii() and (c.isalpha() or (digits and c.isdigit()))
 
-    def free(text: str, at: int) -> bool:
-        return not (0 <= at < len(text) and text[at].isascii() and text[at].isalnum())
+    def free(text: str, start: int, end: int) -> bool:
+        term = text[start:end]
+        return not term.isascii() or not (touches(text, start - 1, True) or touches(text, end, term not in ("c++", "c#")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned, unsure, needed = shared.value
+        patterns = {skill: re.compile(p) for skill, p in needed.items()}
         machine = ahocorasick.Automaton()
-        for term, skill in shared.value.items():
+        for term, skill in owned.items():
             machine.add_word(term, (len(term), skill))
         machine.make_automaton()
         for batch in batches:
@@ -41,20 +60,37 @@ def longest_matches(posts: DataFrame, terms: DataFrame) -> DataFrame:
             for post, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 low = (text or "").lower()
                 found = [(-n, end - n + 1, skill) for end, (n, skill) in machine.iter(low)] if len(machine) else []
-                found = sorted(x for x in found if free(low, x[1] - 1) and free(low, x[1] - x[0]))
-                used, first, times = bytearray(len(low)), {}, {}
+                absent = {skill for skill in {x[2] for x in found} & patterns.keys() if not patterns[skill].search(low)}
+                found = sorted(x for x in found if x[2] not in absent and free(low, x[1], x[1] - x[0]))
+                used, taken = array("i", bytes(4 * len(low))), []
                 for n, start, skill in found:
-                    if not any(used[start : start - n]):
-                        used[start : start - n] = b"\1" * -n
-                        first[skill] = min(first.get(skill, (start, -n)), (start, -n))
-                        times[skill] = times.get(skill, 0) + 1
-                out += [(post, s, low[at : at + n], at, times[s]) for s, (at, n) in first.items()]
-            cols = zip(*out, strict=True) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["id", "skill_id", "surface", "start", "mention_count"])
+                    over = min((k for k in used[start : start - n] if k), default=0)
+                    if over:
+                        taken[over - 1][3].append((skill, low[start : start - n], start, start - n))
+                    else:
+                        taken.append((start, -n, skill, []))
+                        used[start : start - n] = array("i", [len(taken)]) * -n
+                mentions: dict[int, list] = {}
+                for x in sorted(taken, key=lambda x: x[:2]):
+                    mentions.setdefault(x[2], []).append(x)
+                for skill, own in mentions.items():
+                    at, n = own[0][:2]
+                    under = [dict(zip(("skill_id", "surface", "start", "end"), c, strict=True)) for m in own for c in m[3]]
+                    out.append((post, skill, low[at : at + n], at, len(own), low[at : at + n] in unsure, under))
+            cols = zip(*out, strict=True) if out else [[]] * 7
+            covered = pa.list_(pa.struct([("skill_id", pa.int64()), ("surface", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), covered)
+            names = ["id", "skill_id", "surface", "start", "mention_count", "ambiguous", "covered"]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     own = posts.select(F.col("id").cast("bigint"), "text")
-    return own.mapInArrow(run, "id bigint, skill_id bigint, surface string, start int, mention_count int")
+    covered = "array<struct<skill_id: bigint, surface: string, start: int, end: int>>"
+    return own.mapInArrow(run, f"id bigint, skill_id bigint, surface string, start int, mention_count int, ambiguous boolean, covered {covered}")
+
+
+def longest_matches(posts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, skill_id, surface, start, mention_count) of `matches_with_evidence`."""
+    return matches_with_evidence(posts, terms).drop("ambiguous", "covered")
 
 
 def bigram_retrieval(queries: DataFrame, terms: DataFrame, top: int = 10) -> DataFrame:

@@ -311,7 +311,7 @@ def X10_weighted_keywords(s, d):
 @query()
 def X17_longest_matches(s, d):
     terms = s.createDataFrame([("license", 1), ("apache license", 2), ("the", 3), ("of the", 4), ("data", 5)], "term string, skill_id bigint")
-    return matching.longest_matches(v.posts(s, d).select(F.col("recruit_id").alias("id"), F.col("description").alias("text")), terms)
+    return matching.matches_with_evidence(v.posts(s, d).select(F.col("recruit_id").alias("id"), F.col("description").alias("text")), terms)
 
 
 @query()
