@@ -200,23 +200,34 @@ def near_links(prints: DataFrame, distance: int = 3, group_rows: int = 100_000)
     return sorted_.mapInArrow(_join_group_batches(bits, distance, 4 * group_rows), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, group_rows: int = 100_000) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp, fingerprint, component_id), a row for each row."""
+def _classified(docs: DataFrame, distance: int = 3, group_rows: int = 100_000) -> DataFrame:
+    """(doc_id, text) -> (doc_id, fp, root, component_id), a row for each row; root is one for each group, which component_id need not be
+    where rows repeat a doc_id."""
     signed = cut(fingerprints(docs))
     firsts = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected(near_links(firsts.select("fp"), distance, group_rows))
     classed = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = classed.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return signed.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = classed.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return signed.join(classes, "fp")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3, group_rows: int = 100_000) -> DataFrame:
+    """(doc_id, text) -> (doc_id, fp, fingerprint, component_id), a row for each row."""
+    return _classified(docs, distance, group_rows).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """docs without all but one document (the smallest doc_id) of each near-duplicate group; rows that repeat a doc_id
-    count as one document, rows without doc_id stay. Columns as in docs."""
-    classes = near_duplicates(docs, distance)
-    gone = classes.where("doc_id > component_id").select(F.col("doc_id").alias("__gone"))
-    gone = gone.distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
-    w = kept.where("doc_id is null")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(w)
+    """docs without all but one document (the smallest doc_id, then the smallest fingerprint) of each near-duplicate group. Rows that repeat
+    a doc_id are told apart by fingerprint: those with unlike texts are documents of their own. Rows without doc_id stay. Columns as in docs."""
+    items = _classified(docs, distance).where("doc_id is not null").select("doc_id", "fp", "root")
+    winners = cut(items.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select("x.*"))
+    texts = items.groupBy("doc_id").agg((F.min("fp") < F.max("fp")).alias("__unlike"))
+    ids = winners.select("doc_id").distinct().join(texts, "doc_id").withColumnRenamed("doc_id", "__id")
+    there = docs.join(ids, F.col("doc_id").cast("bigint") == F.col("__id"))
+    alike = there.where("not __unlike").dropDuplicates(["__id"]).select(docs.columns)
+    mixed = there.where("__unlike").withColumn("__version", F.xxhash64("text"))
+    signed = fingerprints(mixed.select(F.col("__version").alias("doc_id"), "text")).distinct().toDF("__version", "__fp")
+    winning = winners.toDF("__id", "__fp")
+    unlike = mixed.join(signed, "__version").join(winning, ["__id", "__fp"], "left_semi").dropDuplicates(["__id", "__fp"]).select(docs.columns)
+    return alike.union(unlike).union(docs.where("doc_id is null"))

@@ -56,6 +56,13 @@ def test_edges(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_unlike_texts_of_one_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(0, a), (1, a), (1, b), (4, b.upper()), (4, c), (6, "x y z"), (6, "p q r"), (6, "P Q R"), (None, a)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(((r.doc_id, r.text.lower()) for r in kept.collect()), key=str) == sorted([(0, a), (1, b), (4, c), (6, "x y z"), (6, "p q r"), (None, a)], key=str)
+
+
 @pytest.mark.parametrize("group_rows", [40, 100_000])
 def test_trie_join_against_all_pairs(spark, group_rows):
     rng = np.random.default_rng(1)
