@@ -6,9 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from laborlens.llm import extract, lm, quality, toxicity
+from laborlens.llm import extract, hashing, lm, quality, toxicity
 from laborlens.llm.html_blocks import blocks
 
 from .test_simhash import AZ
@@ -40,36 +42,101 @@ def test_toxicity(spark, small):
     assert toxicity.graded(df, labels).count() == 5 and toxicity.graded(df, labels.limit(0)).count() == 5 and toxicity.graded(df.limit(0), labels).count() == 0
 
 
-def test_language_model(spark):
+def split(t):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(AZ)), ""]
+
+
+def hashes(words):
+    """The hashes of single words; an empty one is the end token."""
+    return np.array([int(next(hashing.hashed(pa.array([w])))[1][0]) for w in words], dtype=np.uint64)
+
+
+def test_hashes_of_words(monkeypatch):
+    texts = ["a bb\x0bccc É", None, "", "  x ", "A BB", "y" * 700 + " z " * 300, "\t"]
+    want = [h for t in texts for h in hashes(split(t))]
+    for piece in (3, 1 << 19):
+        monkeypatch.setattr(hashing, "PIECE", piece)
+        got = [(low + r, h) for low, words, rows in hashing.hashed(pa.array(texts)) for h, r in zip(words, rows, strict=True)]
+        assert [h for _, h in got] == want
+        assert [r for r, _ in got] == [k for k, t in enumerate(texts) for _ in split(t)]
+    assert len(set(want)) == len({w for t in texts for w in split(t)})
+    one, two = hashing.before(np.arange(6, dtype=np.uint64), np.array([0, 0, 0, 1, 1, 1]))
+    assert list(two) == [hashing.END, hashing.END, 0, hashing.END, 2, 3] and list(one) == [hashing.END, 0, 1, 2, 3, 4]
+
+
+def plain_scores(model, rows, c, out, contexts):
+    """Scores token by token from counted words and pairs; class probabilities from the model's weights, one context at a time."""
+    key = {w: int(h) for w, h in zip(c, hashes(c), strict=True)}
+    head = {w for w in c if key[w] in set(map(int, model.head))}
+    place = {int(h): k for k, h in enumerate(model.head)}
+
+    def context(w):
+        h = key.get(w) or int(hashes([w])[0])
+        return w if w in head else (h >> 3) % contexts
+
+    def cls(w):
+        return int(model.classes[place[key[w]]]) if w in head else lm.HEAD_CLASSES + (key[w] & 7)
+
+    pairs, follows, mass = Counter(), Counter(), Counter()
+    for d, t in rows:
+        if not out(d):
+            for a, b in zip(["", *split(t)], split(t)):
+                pairs[context(a), b] += 1
+                follows[context(a)] += 1
+    for w, n in c.items():
+        mass[cls(w)] += n
+    scores = []
+    for _, t in rows:
+        words, total = split(t), 0.0
+        for k, w in enumerate(words):
+            a, b = words[k - 1] if k else "", words[k - 2] if k > 1 else ""
+            if not c[w]:
+                total += math.log10(model.unknown)
+                continue
+            f = model.features(hashes([a]), hashes([b]))
+            z = model.bias.astype(float) + sum(model.weights[x[0]].astype(float) for x in f)
+            p0 = math.exp(z[cls(w)]) / np.exp(z).sum() * c[w] / mass[cls(w)]
+            total += math.log10((1 - model.unknown) * (pairs[context(a), w] + lm.MU * p0) / (follows[context(a)] + lm.MU))
+        scores.append(total)
+    return scores
+
+
+@pytest.mark.parametrize(("head", "hot", "bucket"), [(4, 4, 50), (1 << 16, 1 << 16, 1 << 21), (40, 8, 1)])
+def test_language_model(spark, monkeypatch, head, hot, bucket):
     rng = np.random.default_rng(3)
-    rows = [(d, " ".join(rng.choice(["the", "cat", "Sat", "on", "mat", f"w{d}"], 30))) for d in range(80)] + EDGES
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as n")
-    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(AZ)), ""]
+    rows = [(d, " ".join(rng.choice(["the", "cat", "Sat", "on", "mat", f"w{d}", f"v{d % 9}"], 30))) for d in range(80)] + EDGES
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as n", "2 as block")
     out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     c = Counter(w for d, t in rows if not out(d) for w in split(t))
     n, v = sum(c.values()), len(c)
-    for head in (4, 1000):
-        got = sorted(([r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)] for r in lm.scored(df, head=head).collect()), key=str)
-        want = sorted(([d, out(d), len(split(t)), sum(c[w] > 0 for w in split(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in split(t)), 6)] for d, t in rows), key=str)
-        assert got == want
+    models, train = [], lm.trained
+    monkeypatch.setattr(lm, "trained", lambda *a: models.append(train(*a)) or models[-1])
+    rows_of = lm.scored(df, head=head, hot=hot, bucket_tokens=bucket).collect()
+    want = plain_scores(models[0], rows, c, out, lm.CONTEXTS)
+    got = sorted(([r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), r.score] for r in rows_of), key=str)
+    plain = sorted(([d, out(d), len(split(t)), sum(c[w] > 0 for w in split(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in split(t)), 6), s] for (d, t), s in zip(rows, want, strict=True)), key=str)
+    assert [g[:-1] for g in got] == [p[:-1] for p in plain]
+    assert all(abs(g[-1] - p[-1]) < 1e-3 * p[2] for g, p in zip(got, plain, strict=True))
     assert lm.scored(df.limit(0)).count() == 0
 
 
 def test_model_is_a_distribution(spark):
-    texts = spark.createDataFrame([("a b c a b d e",), ("b a zz q",)], "text string")
+    texts = spark.createDataFrame([("a b c a b d e",), ("b a zz q",), ("a b c",)], "text string")
     counts = lm.counted(texts)
     m = lm.trained(texts, counts, head=3)
-    known = [bytes(r.token) for r in counts.collect()]
-    words = [b"a", b"b"]
-    total, logs = 0.0, m.log_classes(m.features(m.places(words)[2]))[-1]
-    c = {bytes(r.token): r.c for r in counts.collect()}
-    for w in known:
-        place, cls, _ = m.places([w])
-        inside = m.inside()[place[0]] if place[0] >= 0 else math.log10(c[w] + 1) - m.tail_floor()[cls[0] - lm.HEAD_CLASSES]
-        total += math.exp(logs[cls[0]]) * 10**inside
-    empty = sum(math.exp(logs[k]) for k in range(lm.HEAD_CLASSES) if m.mass[k] == 0)
-    unseen = sum(math.exp(logs[lm.HEAD_CLASSES + k]) * 10 ** -m.tail_floor()[k] for k in range(lm.TAIL_CLASSES))
-    assert abs(total + unseen + empty - 1) < 1e-4
+    c = Counter(w for (t,) in texts.collect() for w in split(t))
+    feats = m.features(hashes(["b"]), hashes(["a"]))
+    shares = np.exp(m.log_classes(feats))[0]
+    words = list(c)
+    at, there = m.places(hashes(words))
+    cls = m.classes_of(hashes(words), at, there)
+    assert abs(sum(shares[k] * c[w] / m.mass[k] for w, k in zip(words, cls, strict=True)) - 1) < 1e-4
+
+
+def test_model_beats_its_base(spark, tiny, small):
+    for folder in (tiny, small):
+        out = lm.scored(spark.read.parquet(f"{folder}/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+        assert out[0] > 0.8 * out[1]
 
 
 def test_gradient_of_labeller():
