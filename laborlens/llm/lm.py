@@ -450,7 +450,7 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2, head: int = HEAD, hot
     shared = docs.sparkSession.sparkContext.broadcast(model)
     buckets = max(12, model.total // bucket_tokens)
     sent = docs.select("doc_id", "text", out.alias("held")).mapInArrow(_deal_batches(shared, buckets), _SENT)
-    back = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle_batches(shared), "block bigint, kind int, data binary")
+    back = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle_batches(shared), "block bigint, kind int, data binary")
     rows = back.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_collect_batches, "doc_id bigint, n bigint, known bigint, base double, score double")
     each = math.log10(model.total + model.kinds + 1)
     return rows.select(
