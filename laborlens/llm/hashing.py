@@ -1,6 +1,6 @@
 """Words of whole Arrow columns as 64-bit hashes, by array operations on their bytes.
 
-A word's hash is a polynomial of its bytes modulo 2**64 (prefix sums give it for all words at once), mixed; A-Z count as a-z. Its
+A word's hash is a polynomial of its bytes modulo 2**64 (prefix sums give it for all words at once), mixed; A-Z count as a-z where asked. Its
 three lowest bits are a class of its last two bytes. Every text ends in END.
 """
 
@@ -18,7 +18,8 @@ from .common import SPACE
 _BASE = 0x9E3779B97F4A7C15
 #: bytes that are hashed at once
 PIECE = 1 << 19
-_VALUE = np.array([xxhash.xxh3_64_intdigest(bytes([b]).lower()) for b in range(256)], dtype=np.uint64)
+_VALUE = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], dtype=np.uint64)
+_LOWERED = np.array([xxhash.xxh3_64_intdigest(bytes([b]).lower()) for b in range(256)], dtype=np.uint64)
 _GAP = np.array([b in SPACE.encode() for b in range(256)])
 _powers = np.ones((2, 0), dtype=np.uint64)
 
@@ -45,7 +46,7 @@ def _table(n: int) -> np.ndarray:
     return _powers
 
 
-def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, hashes) of the words in data; no word goes over a cut."""
     n = len(data)
     if not n:
@@ -57,7 +58,7 @@ def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inner = cuts[(cuts > 0) & (cuts < n)]
     last[inner - 1] = True
     starts, ends = np.flatnonzero(full & new), np.flatnonzero(full & last) + 1
-    values, (up, down) = _VALUE[data], _table(n)
+    values, (up, down) = table[data], _table(n)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(values * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts])
@@ -65,7 +66,7 @@ def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, (hashes & ~np.uint64(7)) | ending
 
 
-def _long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _long(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """_words of one text of any length: pieces that end at white space."""
     at, out, none = 0, [], np.zeros(0, dtype=np.int64)
     while at < len(data):
@@ -73,13 +74,13 @@ def _long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while end < len(data) and not _GAP[data[end]]:
             ahead = np.flatnonzero(_GAP[data[end : end + PIECE]])
             end = end + int(ahead[0]) if len(ahead) else min(end + PIECE, len(data))
-        starts, hashes = _words(data[at:end], none)
+        starts, hashes = _words(data[at:end], none, table)
         out.append((starts + at, hashes))
         at = end
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else _words(data, none)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else _words(data, none, table)
 
 
-def hashed(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hashed(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, hashes, their rows counted from it) of neighbouring rows of a text column; null counts as empty. Memory is that of
     `PIECE` bytes or of the longest text."""
     col = pc.fill_null(texts.cast(pa.binary()), b"")
@@ -90,7 +91,8 @@ def hashed(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     while low < n:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + PIECE, side="right")) - 1)
         own, cuts = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-        starts, words = _words(own, cuts) if len(own) <= PIECE else _long(own)
+        table = _LOWERED if lower else _VALUE
+        starts, words = _words(own, cuts, table) if len(own) <= PIECE else _long(own, table)
         rows = np.searchsorted(cuts[1:], starts, side="right")
         times = np.bincount(rows, minlength=high - low)
         out = np.full(len(words) + high - low, END, dtype=np.uint64)

@@ -60,10 +60,23 @@ def test_rewrite_keeps_columns(spark):
     assert substrings.rewrite(df.limit(0)).count() == 0
 
 
-def test_anchor_positions():
+def test_least_of_neighbours():
     rng = np.random.default_rng(0)
     for n in (3, 10, 57):
         g = rng.integers(0, 6, n).astype(np.uint64)
         for span in (1, 2, 5):
-            want = [i + int(np.argmin(g[i : i + span])) for i in range(n - span + 1)]
-            assert list(substrings.anchors(g, span)) == want
+            assert list(substrings.least_of(g, span)) == [min(g[i : i + span]) for i in range(n - span + 1)]
+
+
+def test_subtrees():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        pieces = [rng.integers(0, 3, int(rng.integers(4, 30))) for _ in range(12)]
+        key, doc = rng.integers(0, 3, 12), rng.integers(0, 6, 12)
+        got = set(zip(*substrings.subtrees(key, doc, np.array([len(p) for p in pieces]), np.concatenate(pieces).astype(np.uint64), 4), strict=True))
+        spots = [(k, i) for k, p in enumerate(pieces) for i in range(len(p) - 3)]
+        path = lambda k, i: (key[k], *pieces[k][i : i + 4])  # noqa: B023, E731
+        first = {}
+        for k, i in spots:
+            first[path(k, i)] = min(doc[k], first.get(path(k, i), 99))
+        assert got == {(k, i) for k, i in spots if doc[k] > first[path(k, i)]}
