@@ -1,6 +1,7 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's turns are collected as structs, sorted by turn, and neighbours of one role share one block:
+A conversation's turns are collected as structs and sorted by turn; neighbours of one role are merged into one block, an array of
+their texts, and blocks are concatenated:
 
     <s>[:system]...[/][:user]...[+user]...[/][:assistant]...[/]</s>
 
@@ -10,7 +11,8 @@ block. Inside roles and texts the characters that marks are made of are escaped
 text cut at `[`) that training learns from: those of assistants, from behind the `]` on.
 
 Defined cases: null text or role counts as empty; turns with one number are ordered by role and text (null numbers
-first); repeated rows are turns of their own; a null conv_id is a conversation; an empty table gives an empty result.
+first); repeated rows are turns of their own; a null conv_id is a conversation; extra columns are not read; texts are read whole; an empty
+table gives an empty result.
 One conversation is one output string, so its turns meet in one task; all steps on them are linear in its length.
 """
 
@@ -39,13 +41,18 @@ def formatted(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     sorted_ = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
 
-    def piece(t: Column, i: Column) -> Column:
-        before, after = F.get("ts", i - 1), F.get("ts", i + 1)
-        joins, goes_on = F.coalesce(before.role == t.role, F.lit(False)), F.coalesce(after.role == t.role, F.lit(False))
-        close = F.when(goes_on, "").when(t.role == learn, "[/]</s>").otherwise("[/]")
-        return F.concat(F.when(joins, "[+").otherwise("[:"), escape(t.role), F.lit("]"), escape(t.text), close)
+    # where a role's block begins, and the blocks: slices of the turns from one beginning to the next
+    opens = F.filter(F.transform("ts", lambda t, i: F.when((i == 0) | (F.get("ts", i - 1).role != t.role), i)), lambda i: i.isNotNull())
+    opened = sorted_.select("conv_id", "ts", opens.alias("opens"))
+    block = lambda i, k: F.slice("ts", i + 1, F.coalesce(F.get("opens", k + 1), F.size("ts")) - i)
+    merged = opened.select("conv_id", F.transform("opens", lambda i, k: F.struct(F.get("ts", i).role.alias("role"), F.transform(block(i, k), lambda t: t.text).alias("texts"))).alias("blocks"))
 
-    whole = sorted_.select("conv_id", F.concat(F.lit("<s>"), F.array_join(F.transform("ts", piece), "")).alias("formatted"))
+    def written(b: Column) -> Column:
+        role = escape(b.role)
+        joined = F.call_function("array_join", F.transform(b.texts, escape), F.concat(F.lit("[+"), role, F.lit("]")))
+        return F.concat(F.lit("[:"), role, F.lit("]"), joined, F.when(b.role == learn, "[/]</s>").otherwise("[/]"))
+
+    whole = merged.select("conv_id", F.concat(F.lit("<s>"), F.array_join(F.transform("blocks", written), "")).alias("formatted"))
     segments = whole.withColumn("segs", F.split("formatted", "\\["))
     tag = escape(F.lit(learn))
     learned = F.filter(F.transform("segs", lambda s, i: F.when(s.startswith(F.concat(F.lit(":"), tag, F.lit("]"))) | s.startswith(F.concat(F.lit("+"), tag, F.lit("]"))), i)), lambda i: i.isNotNull())
