@@ -10,8 +10,9 @@ their host is.
 Host sums are aggregated before the shuffle, and the verdict table (a row for each host) is broadcast only up to
 `HOSTS_BROADCAST` hosts, else joined by shuffle.
 
-Defined cases: null text has no words; null source is a host of its own; repeated rows count each; an empty table gives
-an empty result.
+Defined cases: null text has no words; null source is a host of its own; a null doc_id is a document like any other; repeated rows count
+each; extra columns are not read (`keep_good` keeps them); texts are read whole, in memory linear in the longest; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, cut, stored
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_SYMBOL_PERCENT, MAX_LINE_PERCENT = 50, 50, 10, 30
 SYMBOLS_FROM, LINES_FROM = 0.01, 0.5
@@ -101,11 +102,11 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep; columns as in docs. Rules are measured twice rather than texts shuffled."""
-    rates = cut(host_rates(measured(docs.select("text", "source")).select(F.col("source").alias("host"), "__m")))
+    """The documents that the rules keep; columns as in docs. Documents are stored beside their measures, so that texts are measured once
+    and none is shuffled."""
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("text"), docs["source"].alias("host"))
-    out = _verdict(measured(packed), rates)
-    return out.where("kept").select("__row.*")
+    rows = stored(measured(packed).select("__row", "host", "__m"))
+    return _verdict(rows, host_rates(rows)).where("kept").select("__row.*")
 
 
 ORACLE = r"""
