@@ -7,10 +7,11 @@ are extended to all words that such windows cover. Items of under `SPAN` words a
 the documents' grams of just that length (lengths that occur only).
 
 The benchmark side is broadcast only after a count shows that it is small, else both sides are shuffled by fingerprint
-(a hot fingerprint is split by adaptive execution). Documents' texts are shuffled only if the hits are too many to broadcast.
+(a hot fingerprint is split by adaptive execution). Texts of documents with hits are shuffled once, to count repeated rows once.
 
 Defined cases: null text has no words; an item without words is no window; rows that repeat a doc_id are judged by
-their own text; a null doc_id gets its row; item_ids that repeat count once; an empty table gives an empty result.
+their own text; a null doc_id gets its row; item_ids that repeat count once; extra columns are not read (`clean` keeps them); texts are
+read whole, in memory linear in the longest; an empty table gives an empty result.
 """
 
 from __future__ import annotations

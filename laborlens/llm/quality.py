@@ -7,7 +7,9 @@ of their share of the text. The model is fitted on the driver on at most `SAMPLE
 example at a time; scoring is a sparse dot product for each document, in Arrow batches, over whole texts.
 
 Defined cases: null or empty text has only the bias and a length feature and gets a score; rows that repeat a doc_id get a
-score each; labels that are null or of doc_ids that aren't there are ignored; with no labels every score is 0.5.
+score each (one of their texts, that of the least hash, is learnt from); a null doc_id is scored and not held out; labels that are null or
+of doc_ids that aren't there are ignored; with no labels every score is 0.5; texts are read whole, in memory linear in the
+longest; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import first_by_hash, fold
+from .labelled import first_by_hash, held_out, one_text
 
 #: most labelled documents that the model is fitted on
 SAMPLE = 4000
@@ -36,7 +38,7 @@ def _form(word: bytes) -> bytes:
     upper = word.isupper()
     kept = re.sub(rb"[A-Za-z\x80-\xff]+", b"A" if upper and len(word) > 2 else b"a", word)
     kept = re.sub(rb"\d+", b"0", kept)
-    return re.sub(rb"(.)\1+", rb"\1", kept, flags=re.S)[:8]
+    return re.sub(rb"(.)\1+", rb"\1", kept, flags=re.S)
 
 
 def _codes(words: list[bytes]) -> np.ndarray:
@@ -60,7 +62,7 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices below 2**BITS and their values."""
     words = (text or b"").split()
     n = len(words)
-    length = np.array([_mix(np.array([min(12, n.bit_length())], dtype=np.uint64), 5)[0]]) & _MASK
+    length = np.array([_mix(np.array([n.bit_length()], dtype=np.uint64), 5)[0]]) & _MASK
     base, ones = np.concatenate([np.zeros(1, np.uint64), length]), np.ones(2)
     if not n:
         return base.astype(np.int64), ones
@@ -108,7 +110,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """docs (doc_id, text), labels (doc_id, label 0 or 1) -> weights, from at most `sample` labelled documents."""
     some = first_by_hash(labels.where("label is not null").groupBy("doc_id").agg(F.max("label").alias("y")), sample)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("bigint"), "text", F.col("y").cast("int"))
+    chosen = one_text(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")).select(F.col("doc_id").cast("bigint"), "text", F.col("y").cast("int"))
     found = chosen.mapInArrow(_feature_batches, "doc_id bigint, at array<bigint>, x array<double>, y int").toArrow().to_pylist()
     found.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], len(r["at"])))
     return fit([(np.array(r["at"]), np.array(r["x"]), r["y"]) for r in found])
@@ -130,6 +132,6 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def graded(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """labels (doc_id, label). Labels of the fold 0 are never read -> (doc_id, held_out, score, predicted)."""
-    weights = trained(docs, labels.where(fold("doc_id", folds) != 0), sample)
+    weights = trained(docs, labels.where(~held_out("doc_id", folds)), sample)
     out = scored(docs, weights)
-    return out.select("doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out("doc_id", folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

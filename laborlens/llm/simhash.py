@@ -8,7 +8,8 @@ are settled at once by their remaining bits. A group sends on a spanning forest
 each fingerprint), never all pairs; links meet in `components.connected`.
 
 Defined cases: null text counts as empty; an empty text has fingerprint zero, which links like any other; repeated rows
-each get a row; a null doc_id never names a component unless all of it is null; an empty table gives an empty result.
+each get a row; a null doc_id never names a component unless all of it is null; extra columns are not read (`keep_one` keeps them); texts are
+read whole, in memory linear in the longest; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from laborlens.llm import extract, hashing, lm, quality, toxicity
+from laborlens.llm import extract, hashing, labelled, lm, quality, toxicity
 from laborlens.llm.html_blocks import blocks
 
 from .test_simhash import AZ
@@ -32,14 +32,74 @@ def test_quality(spark, small):
     df = spark.createDataFrame(EDGES, "doc_id bigint, text string").selectExpr("*", "1 as score")
     labels = spark.createDataFrame([(2, 1), (3, None), (9, 0)], "doc_id bigint, label int")
     assert quality.graded(df, labels).count() == 5
+    assert {r.held_out for r in quality.graded(df, labels).where("doc_id is null").collect()} == {False}
     assert {r.score for r in quality.graded(df, labels.limit(0)).collect()} == {0.5} and quality.graded(df.limit(0), labels).count() == 0
 
 
 def test_toxicity(spark, small):
     assert held_out(spark, small, toxicity, "toxic") > 0.85
-    df = spark.createDataFrame(EDGES, "doc_id bigint, text string").selectExpr("*", "1 as score")
+    df = spark.createDataFrame(EDGES, "doc_id bigint, text string").selectExpr("*", "1 as score", "2 as n")
     labels = spark.createDataFrame([(2, 1), (3, None)], "doc_id bigint, label int")
     assert toxicity.graded(df, labels).count() == 5 and toxicity.graded(df, labels.limit(0)).count() == 5 and toxicity.graded(df.limit(0), labels).count() == 0
+    assert {r.held_out for r in toxicity.graded(df, labels).where("doc_id is null").collect()} == {False}
+
+
+def test_risk_and_its_gradient():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 6, int(rng.integers(0, 5)))) for _ in range(9)]
+    times, theta = rng.integers(1, 5, 9), rng.standard_normal(7)
+    for sign in (1, -1):
+        plain = lambda t: sum(n * math.log1p(math.exp(-sign * (sum(t[w] for w in r) + t[-1]))) for r, n in zip(rows, times, strict=True))  # noqa: B023, E731
+        loss, *slope = toxicity.risk(theta, rows, times, sign)
+        assert abs(loss - plain(theta)) < 1e-9
+        for k in range(7):
+            step = np.eye(7)[k] * 1e-5
+            assert abs((plain(theta + step) - plain(theta - step)) / 2e-5 - slope[k]) < 1e-6
+
+
+def test_unlabelled_risk_is_over_all_rows(spark, monkeypatch):
+    """Fewer steps and made texts: the model equals one that plain lists of all documents give, on the driver and by executors."""
+    monkeypatch.setattr(toxicity, "_STEPS", 5)
+    rows = [(d, f"good words here w{d % 7}" + (" bad worse" if d % 5 == 0 else "")) for d in range(60)] + [(60, None), (None, "bad"), (0, "bad again")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, int(d % 5 == 0)) for d in range(0, 40)], "doc_id bigint, label int")
+    here, there = toxicity.trained(docs, labels), toxicity.trained(docs, labels, patterns=0)
+    assert np.allclose(here[0], there[0], atol=1e-6) and abs(here[1] - there[1]) < 1e-9 and (here[0] != 0).any()
+    sets = [toxicity.words_of((t or "").encode()) for _, t in rows]
+    active = np.flatnonzero(here[0])
+    place = {w: k for k, w in enumerate(active)}
+    own = [np.array([place[w] for w in x if w in place], dtype=np.int64) for x in sets]
+    texts = {}
+    for d, t in rows:
+        if d is not None and d % 5 == 0 and d < 40:
+            texts.setdefault(d, []).append(t)
+    hashed = {r.doc_id: r.text for r in labelled.one_text(docs).collect()}
+    positive = [np.array([place[w] for w in toxicity.words_of(hashed[d].encode()) if w in place], dtype=np.int64) for d in sorted(texts)]
+    theta = toxicity.fit(positive, lambda t: toxicity.risk(t, own, np.ones(len(own)), -1), len(own), len(active), 8 / 40)
+    assert np.allclose(theta[:-1], here[0][active], atol=1e-5) and abs(theta[-1] - here[1]) < 1e-6
+
+
+def test_follow_the_regularised_leader():
+    """The sparse fit against plain per-coordinate updates."""
+    rng = np.random.default_rng(1)
+    rows = [(np.unique(rng.integers(0, 8, 4)), None, int(rng.integers(0, 2))) for _ in range(20)]
+    rows = [(at, rng.random(len(at)), y) for at, _, y in rows]
+    z, n = [0.0] * 8, [0.0] * 8
+
+    def weight(k):
+        if abs(z[k]) <= quality._L1:
+            return 0.0
+        return -(z[k] - math.copysign(quality._L1, z[k])) / ((quality._BETA + math.sqrt(n[k])) / quality._ALPHA + quality._L2)
+
+    for _ in range(quality._EPOCHS):
+        for at, x, y in rows:
+            w = [weight(k) for k in at]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+            for k, a, b in zip(at, w, x, strict=True):
+                g = (p - y) * b
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality._ALPHA * a
+                n[k] += g * g
+    assert np.allclose(quality.fit(rows)[:8], [weight(k) for k in range(8)], atol=1e-6)
 
 
 def split(t):

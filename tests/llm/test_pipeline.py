@@ -121,3 +121,16 @@ def test_chat_edges(spark):
         assert "".join(back[conv].loss) == "".join(x for _, r, x in own if r == "assistant")
     assert out.where("conv_id = 1").first().formatted == "<s>[:]\\b[/][:assistant][+assistant]b\\bl\\lx\\r\\a[/]</s>"
     assert chat.digests(out).count() == 4 and chat.digests(chat.formatted(df.limit(0))).count() == 0
+
+
+def test_pipeline_edges(spark, tmp_path, tiny):
+    """run() over a table with nulls, repeated rows and clashing extra columns, and over an empty one."""
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, words(1, 60), "en", "a", 5), (1, words(1, 60), "en", "a", 5), (2, None, None, None, None), (3, "", "en", "a", 0), (None, words(2, 70), None, None, 9), (4, words(3, 400), "en", "b", 9), (5, words(1, 60), "en", "b", 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "1 as kept", "'x' as host", "2 as fp", "3 as marks", "4 as version")
+    for name, table in (("some", df), ("none", df.limit(0))):
+        folder = tmp_path / name
+        table.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{tiny}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+        got = sorted((str(r.doc_id), r.n_tokens > 0) for r in corpus_pipeline.run(spark, str(folder)).collect())
+        assert got == ([("1", True), ("4", True), ("None", True)] if name == "some" else [])
