@@ -16,6 +16,9 @@ ANCHORS = [
     ("TRANS", "模型", "after transformer"), ("TRANS", "架构", "after transformer"),
     ("TRANS", "transformer model", "plural"), ("TRANS", "transformer architecture", "plural"),
 ]
+# The groups of each anchor version.
+_GROUPS = {"main": ["AI", "ML", "NLP", "CVISION", "CIMAGE", "LLM", "TRANS"], "cn_paper": ["AI", "ML", "NLP", "CIMAGE"], "babina": ["AI", "ML", "NLP", "CVISION"]}
+VERSIONS = {name: [a for a in ANCHORS if a[0] in groups] for name, groups in _GROUPS.items()}
 # Bits of the anchor groups.
 GROUP_BITS = {"AI": 1, "ML": 2, "NLP": 4, "CVISION": 8, "CIMAGE": 16, "LLM": 32, "TRANS": 64}
 

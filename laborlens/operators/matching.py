@@ -109,6 +109,18 @@ def bigram_retrieval(queries: DataFrame, terms: DataFrame, top: int = 10) -> Dat
     return best.withColumn("place", place).where(F.col("place") <= top)
 
 
+def overlap_retrieval(queries: DataFrame, terms: DataFrame, top: int = 10) -> DataFrame:
+    """queries (query), terms (alias) -> the `top` aliases by the number of character bigrams that both have, then by name."""
+
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substr(F.lower(name), i, F.lit(2)))
+        return df.select(name, F.explode(F.array_distinct(cut)).alias("g"))
+
+    both = grams(queries, "query").join(grams(terms, "alias"), "g").groupBy("query", "alias").agg(F.count("*").alias("overlap"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("overlap"), "alias"))
+    return both.withColumn("place", place).where(F.col("place") <= top)
+
+
 def beta_prior(cells: list[tuple[int, int, int]], least_cells: int = 50) -> tuple[float, float, str]:
     """(n, c, how many such cells) -> (alpha, beta, status): maximum likelihood by a simplex search on logarithms."""
     if sum(k for _, _, k in cells) < least_cells:
@@ -122,7 +134,8 @@ def beta_prior(cells: list[tuple[int, int, int]], least_cells: int = 50) -> tupl
         one = lg(a) + lg(b) - lg(a + b)
         return -sum(k * (lg(c + a) + lg(n - c + b) - lg(n + a + b) - one) for n, c, k in cells)
 
-    start = (math.log(0.3), math.log(8.0))
+    # fixed values: where the search begins, and the range in which a fit counts as stable
+    start, low, high = (math.log(0.3), math.log(8.0)), 1e-4, 1e4
     points = sorted(((loss(p), p) for p in (start, (start[0] + 0.3, start[1]), (start[0], start[1] + 0.3))))
     for _ in range(400):
         (f0, best), (f1, mid), (f2, worst) = points
@@ -137,10 +150,12 @@ def beta_prior(cells: list[tuple[int, int, int]], least_cells: int = 50) -> tupl
         else:
             shrink = [tuple((x + y) / 2 for x, y in zip(best, p, strict=True)) for p in (mid, worst)]
             points = sorted([points[0], *((loss(p), p) for p in shrink)])
+    else:
+        return 0.5, 0.5, "jeffreys:not_converged"
     a, b = (math.exp(x) for x in points[0][1])
-    if not (1e-4 <= a <= 1e4 and 1e-4 <= b <= 1e4):
-        return 0.5, 0.5, "jeffreys:out_of_range"
-    return a, b, "ok"
+    if not (low <= a <= high and low <= b <= high):
+        return 0.5, 0.5, "jeffreys:unstable"
+    return a, b, "fitted"
 
 
 def fitted_priors(counts: DataFrame, least_n: int = 5) -> DataFrame:

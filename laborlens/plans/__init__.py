@@ -1 +1 @@
-from . import registry, review, rounds  # review and rounds add their queries to the registry
+from . import files, registry, review, rounds, skills  # each but registry adds its queries to the registry

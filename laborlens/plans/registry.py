@@ -175,8 +175,10 @@ def P15_decomposition(s, d):
 def A4_grain_rollup(s, d):
     y = F.col("year").cast("string")
     cells = [("year", y), ("half", F.concat(y, F.lit("H"), F.when(F.col("month") <= 6, "1").otherwise("2"))), ("quarter", F.concat(y, F.lit("Q"), F.floor((F.col("month") + 2) / 3).cast("string")))]
-    rows = _fused(s, d).withColumn("x", F.explode(F.array(*[F.struct(F.lit(k).alias("grain"), p.alias("period")) for k, p in cells])))
-    return _panel(rows.select("*", "x.grain", "x.period"), "grain", "period", "city").where("total >= 20")
+    # months are counted once; the small table of months is rolled up
+    rows = _panel(_fused(s, d), "city", "year", "month").withColumn("x", F.explode(F.array(*[F.struct(F.lit(k).alias("grain"), p.alias("period")) for k, p in cells])))
+    sums = [F.sum(c).alias(c) for c in ("total", "a_jobs", "b_jobs", "fused_jobs")]
+    return rows.select("*", "x.grain", "x.period").groupBy("grain", "period", "city").agg(*sums).where("total >= 20")
 
 
 @query(f"WITH fu AS (SELECT *, main AS a, babina AS b, greatest(main, babina) AS fused FROM v_jobs) SELECT coalesce(city, 'ALL') AS city, year, {_CELLS} FROM fu GROUP BY GROUPING SETS ((city, year), (year))")
@@ -458,7 +460,7 @@ def T2_top_concepts(s, d):
 @query("SELECT company_id FROM v_jobs WHERE year = 1996 EXCEPT SELECT company_id FROM v_jobs WHERE year = 1997")
 def T4_set_difference(s, d):
     j = v.jobs(s, d)
-    return j.where("year = 1996").select("company_id").exceptAll(j.where("year = 1997").select("company_id")).distinct().join(j.where("year = 1997").select("company_id"), "company_id", "left_anti")
+    return j.where("year = 1996").select("company_id").subtract(j.where("year = 1997").select("company_id"))
 
 
 @query("SELECT company_id, min(job_id) AS job_id FROM v_jobs GROUP BY company_id")

@@ -91,10 +91,11 @@ def X22_surface_places(s, d):
     return v.table(s, d, "documents").select("doc_id", at.alias("x")).where("x is not null").select("doc_id", "x.start", "x.end", "x.multiple")
 
 
-@query("SELECT doc_id, true AS valid FROM documents")
+@query("SELECT doc_id, doc_id % 3 <> 0 AS valid FROM documents")
 def X26_spans_without_punctuation(s, d):
     bare = lambda c: F.regexp_replace(c, "[\\s\\p{P}]+", "")
-    quoted = F.concat(F.lit(" "), F.substring("text", 5, 40), F.lit("。"))
+    # every third quotation has a word that the text lacks
+    quoted = F.concat(F.lit(" "), F.substring("text", 5, 40), F.when(F.col("doc_id") % 3 == 0, "qqxzq").otherwise("。"))
     return v.table(s, d, "documents").select("doc_id", F.contains(bare(F.col("text")), bare(quoted)).alias("valid"))
 
 

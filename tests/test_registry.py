@@ -50,7 +50,7 @@ def test_longest_matches(spark):
 def test_beta_prior():
     cells = [(20, k % 8, 5) for k in range(30)]
     a, b, status = matching.beta_prior(cells)
-    assert status == "ok" and 0.1 < a / (a + b) < 0.25
+    assert status == "fitted" and 0.1 < a / (a + b) < 0.25
     lg = math.lgamma
     loss = lambda a, b: -sum(k * (lg(c + a) + lg(n - c + b) - lg(n + a + b) - lg(a) - lg(b) + lg(a + b)) for n, c, k in cells)
     assert all(loss(a, b) <= loss(a * x, b * y) + 1e-6 for x in (0.95, 1, 1.05) for y in (0.95, 1, 1.05))
