@@ -35,7 +35,7 @@ from .labelled import first_by_hash, held_out, one_text
 #: most labelled positives that the model is fitted on, and most patterns that go to the driver
 POSITIVES, PATTERNS = 2000, 200_000
 BITS = 20
-_STEPS, _RATE, _DECAY = 400, 0.1, 1e-4
+_STEPS, _RATE, _DECAY = 80, 0.3, 1e-4
 #: bytes of a word's beginning that are a feature of their own, so that other endings of a word are known
 _STEM = 5
 _PUNCTUATION = b".,;:!?\"'()[]{}*#$%&|<>-_/\\"
