@@ -71,4 +71,4 @@ def test_quotas(spark):
 
 
 def test_names_are_ids():
-    assert all(re.match(r"[A-Z]\d+_", n) for n in registry.QUERIES)
+    assert all(re.match(r"[A-Z]{1,2}\d+_", n) for n in registry.QUERIES)
