@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space that separates words in every contract that says [^\x20\x09-\x0D]+; bytes.split() uses the same set.
 SPACE = " \t\n\x0b\x0c\r"
@@ -40,3 +41,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def beside(rows: DataFrame, groups: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """rows with the columns of their group, where it has one; groups: a row for each, n: its rows in `rows`. Groups of over one row in `share` are
+    broadcast (there are fewer than `share`), so none of them lands in one task; the others are joined by their keys. Both are read twice: store them."""
+    most = rows.count() // share
+    large = F.broadcast(groups.where(F.col("n") > most))
+    rest = rows.join(large.select(keys), keys, "left_anti")
+    return rows.join(large.drop("n"), keys).unionByName(rest.join(groups.where(F.col("n") <= most).drop("n"), keys))

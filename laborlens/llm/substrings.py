@@ -12,7 +12,8 @@ suffixes of several documents is a repeat of at least that length. Words are 64-
 3. A group's suffix tree is built from its words: ranks of all word sequences of 1, 2, 4, 8... words (prefix doubling) sort the suffixes,
    and the same ranks give the words that neighbours share. Runs that share `window` words or more are the tree's deep
    internal nodes; their suffixes in documents after the node's smallest doc_id are repeats. A group whose prefix is the whole window is
-   a single such node: its smallest doc_id is an aggregate, combined before the shuffle, so a passage that a third of all documents share is no hot key.
+   a single such node: its smallest doc_id is an aggregate, combined before the shuffle, and goes back to large nodes' suffixes by a broadcast, so a
+   passage that a third of all documents share is no hot key.
 
 Documents that are the same word for word (128 bits of their words' hashes) count as one text in step 1, and all words of those after the
 smallest doc_id go if there is a window, so groups of copies alone make no suffixes.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import beside, cut
 from .hashing import hashed, mix
 
 WINDOW = 50
@@ -261,8 +262,8 @@ def _late_windows(own: DataFrame, scanned: DataFrame, window: int, gram: int, gr
     late = found.repartition("key").sortWithinPartitions("key").mapInArrow(_subtree_batches(window), "doc_id bigint, version bigint, start int")
     if not shared.where("full").isEmpty():
         windows = cut(rows.mapInArrow(_suffixes(window, gram, True, value), _WINDOWS))
-        nodes = windows.groupBy("key", "twin").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "twin", "first")
-        late = late.unionByName(windows.join(nodes, ["key", "twin"]).where("doc_id > first").select("doc_id", "version", "start"))
+        nodes = windows.groupBy("key", "twin").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+        late = late.unionByName(beside(windows, cut(nodes), ["key", "twin"]).where("doc_id > first").select("doc_id", "version", "start"))
     return late.groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts"))
 
 
@@ -272,8 +273,8 @@ def _marks(own: DataFrame, window: int, group_rows: int, broadcast_rows: int) ->
     own = own.where("doc_id is not null")
     scanned = cut(own.mapInArrow(_scan(window, gram), "doc_id bigint, version bigint, twin bigint, anchors array<bigint>"))
     ids = scanned.where("size(anchors) > 0").select("doc_id", "version", "twin")
-    least = ids.groupBy("version", "twin").agg(F.min("doc_id").alias("least"))
-    copies = ids.join(least, ["version", "twin"]).where("doc_id > least").select("doc_id", "version", F.lit(True).alias("copy"), F.array().cast("array<int>").alias("starts"))
+    least = cut(ids.groupBy("version", "twin").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    copies = beside(ids, least, ["version", "twin"]).where("doc_id > least").select("doc_id", "version", F.lit(True).alias("copy"), F.array().cast("array<int>").alias("starts"))
     late = _late_windows(own, scanned, window, gram, group_rows, broadcast_rows).select("doc_id", "version", F.lit(False).alias("copy"), "starts")
     both = copies.dropDuplicates(["doc_id", "version"]).unionByName(late)
     return both.groupBy("doc_id").agg(F.collect_list(F.struct("version", "copy", "starts")).alias("marks"))

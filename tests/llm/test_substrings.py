@@ -3,8 +3,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from laborlens.llm import substrings
+from laborlens.llm.common import beside
 
 
 def plain(rows, window):
@@ -80,3 +82,11 @@ def test_subtrees():
         for k, i in spots:
             first[path(k, i)] = min(doc[k], first.get(path(k, i), 99))
         assert got == {(k, i) for k, i in spots if doc[k] > first[path(k, i)]}
+
+
+def test_large_groups_are_broadcast(spark):
+    rows = spark.createDataFrame([(k if k < 40 else 99, k) for k in range(100)], "g int, x int")
+    groups = rows.where("g <> 7").groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("least"))
+    want = sorted((r.g, r.x, 40 if r.g == 99 else r.x) for r in rows.where("g <> 7").collect())
+    for share in (1, 10, 100, 1000):
+        assert sorted((r.g, r.x, r.least) for r in beside(rows, groups, ["g"], share).collect()) == want
