@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import beside, cut
 from .components import connected
 
 _CHUNK = 1 << 16
@@ -205,12 +205,12 @@ def _classified(docs: DataFrame, distance: int = 3, group_rows: int = 100_000) -
     """(doc_id, text) -> (doc_id, fp, root, component_id), a row for each row; root is one for each group, which component_id need not be
     where rows repeat a doc_id."""
     signed = cut(fingerprints(docs))
-    firsts = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    firsts = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
     roots = connected(near_links(firsts.select("fp"), distance, group_rows))
-    classed = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = classed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = classed.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
-    return signed.join(classes, "fp")
+    classed = cut(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = cut(classed.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    classes = cut(beside(classed, least, ["root"]).select("fp", "root", "component_id", F.col("rows").alias("n")))
+    return beside(signed, classes, ["fp"])
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, group_rows: int = 100_000) -> DataFrame:
