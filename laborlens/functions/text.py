@@ -44,6 +44,15 @@ def anchor_groups(text: Column, anchors: list[tuple[str, str, str]] = ANCHORS) -
     return F.array_distinct(F.filter(F.array(*[F.when(low.rlike(pattern(t, r)), g) for g, t, r in anchors]), lambda x: x.isNotNull()))
 
 
+def anchor_hits(text: Column, anchors: list[tuple[str, str, str]] = ANCHORS) -> Column:
+    """(flag, groups, surfaces): the distinct groups and the distinct spellings that occur, both in rule order."""
+    low = F.lower(text)
+    found = [F.regexp_extract_all(low, F.lit(pattern(t, r)), F.lit(0)) for _, t, r in anchors]
+    hit = [F.when(F.size(x) > 0, g) for x, (g, _, _) in zip(found, anchors, strict=True)]
+    groups = F.array_distinct(F.filter(F.array(*hit), lambda g: g.isNotNull()))
+    return F.struct((F.size(groups) > 0).cast("int").alias("flag"), groups.alias("groups"), F.array_distinct(F.flatten(F.array(*found))).alias("surfaces"))
+
+
 def group_bits(groups: Column) -> Column:
     bits = F.create_map(*[F.lit(x) for kv in GROUP_BITS.items() for x in kv])
     return F.aggregate(groups, F.lit(0), lambda a, g: a.bitwiseOR(F.coalesce(bits[g], F.lit(0))))

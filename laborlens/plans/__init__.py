@@ -1 +1 @@
-from . import files, registry, review, rounds, skills  # each but registry adds its queries to the registry
+from . import files, judging, registry, review, rounds, skills  # each but registry adds its queries to the registry
