@@ -90,6 +90,11 @@ def omega(jobs: DataFrame, pairs: DataFrame, anchor: str = "main", min_count: in
     return own.select("skill_code", "n", "c", (F.col("c") / F.col("n")).alias("omega"), ratio.alias("ratio"), (laplace / (1 + laplace)).alias("laplace"))
 
 
+def half_up(a: Column, b: Column) -> Column:
+    """a / b to the nearest integer, halves up, for integers not below zero: exact, whatever the order in which a was summed."""
+    return F.call_function("div", 2 * a + b, 2 * b)
+
+
 def fused(jobs: DataFrame, pairs: DataFrame, known: DataFrame, mean: float = 0.19, most: float = 0.21) -> DataFrame:
     """(job_id, a, b, fused): a is the anchor itself, b holds if known skills' omegas average `mean` and one reaches `most`."""
     own = pairs.join(known.select("skill_code", "omega"), "skill_code").groupBy("job_id").agg(((F.avg("omega") >= mean) & (F.max("omega") >= most)).cast("int").alias("b"))

@@ -210,9 +210,10 @@ def A2_keyword_penetration(s, d):
 SELECT city, year, count(*) AS total, sum((coalesce(r, 0) >= 0.2)::INT)::BIGINT AS ai_jobs FROM v_jobs LEFT JOIN r USING (job_id) GROUP BY city, year""")
 def A7_anchor_penetration(s, d):
     jobs, pairs = v.jobs(s, d), v.pairs(s, d)
-    known = ct.omega(jobs, pairs).select("skill_code", F.round("omega", 6).alias("omega"))
-    r = pairs.join(known, "skill_code").groupBy("job_id").agg(F.round(F.avg("omega"), 6).alias("r"))
-    return jobs.join(r, "job_id", "left").groupBy("city", "year").agg(F.count("*").alias("total"), F.sum((F.coalesce("r", F.lit(0)) >= 0.2).cast("bigint")).alias("ai_jobs"))
+    # in whole millionths: means of four or more doubles fall to either side of the threshold by the order of their sum
+    known = ct.omega(jobs, pairs).select("skill_code", ct.half_up(F.col("c") * 1_000_000, F.col("n")).alias("omega"))
+    r = pairs.join(known, "skill_code").groupBy("job_id").agg(ct.half_up(F.sum("omega"), F.count("*")).alias("r"))
+    return jobs.join(r, "job_id", "left").groupBy("city", "year").agg(F.count("*").alias("total"), F.sum((F.coalesce("r", F.lit(0)) >= 200_000).cast("bigint")).alias("ai_jobs"))
 
 
 @query("SELECT city, year, count(*) AS n FROM v_jobs WHERE year = 1997 GROUP BY ALL")
